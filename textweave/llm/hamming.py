@@ -35,14 +35,14 @@ def families(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
 
 
-def units(nodes: DataFrame, fp: str, radius: int, blocks: int, chunk: int = CHUNK) -> DataFrame:
+def units(nodes: DataFrame, fp: str, radius: int, blocks: int, chunk: int = CHUNK, salt: str | None = None) -> DataFrame:
     """nodes with (key, i, j, role) added, one row for each unit it takes part in.
 
     role 1: side i (the tree), 2: side j (the queries), 3: both (i = j).
     """
     keyed = nodes.withColumn("key", F.explode(families(F.col(fp), radius, blocks)))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
-    out = keyed.join(sizes.select("key", "parts"), "key").withColumn("c", F.pmod(F.xxhash64(fp, F.lit(7)), "parts").cast("int"))
+    out = keyed.join(sizes.select("key", "parts"), "key").withColumn("c", F.pmod(F.xxhash64(salt or fp, F.lit(7)), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     out = out.select("*", other)
     return out.select(*nodes.columns, "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 3).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("role"))

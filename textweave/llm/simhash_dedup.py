@@ -24,6 +24,7 @@ from textweave.llm.common import connected_components, prepare, table
 from textweave.llm.hamming import by_unit, linked, runs, units
 
 BATCH = 1 << 21
+SMALL = 200_000
 
 
 def _fingerprints(texts: list[bytes], size: int) -> np.ndarray:
@@ -112,5 +113,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id are kept.  Of repeated rows with that id, all are kept.
     """
     parts = simhash_components(docs, id_col, text_col, **how)
-    gone = parts.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    gone = table(parts.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= SMALL else gone  # beyond that, by shuffle
+    return docs.join(side, docs[id_col] == side["gone_id"], "left_anti")
