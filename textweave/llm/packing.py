@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from textweave.llm.common import prepare, table
 from textweave.llm.token_counts import default_path
 
-ROWS_PER_GROUP = 50_000
+ROWS_PER_GROUP = 2_000
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -171,13 +171,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every token in one place."""
     parts = table(pieces(docs, id_col, text_col, capacity, end_id, path), "pieces")
     spark = docs.sparkSession
-    n = parts.count()
-    groups = max(1, -(-n // ROWS_PER_GROUP))
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    sizes = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
     hist = np.zeros(capacity + 1, dtype=np.int64)
-    for length, k in sizes.groupBy("length").agg(F.sum("n")).collect():  # capacity rows at most
+    for length, k in parts.groupBy("length").agg(F.count("*")).collect():  # capacity rows at most
         hist[length] = k
+    groups = F.array(*[F.lit(int(max(1, -(-h // ROWS_PER_GROUP)))) for h in hist])  # a frequent length has many
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int"))))
+    sizes = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
     rows = spark.sparkContext.broadcast(places(plan(hist, capacity), capacity))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
