@@ -85,8 +85,11 @@ def _near_rows(index: Index, near: Near) -> DataFrame:
         out = out.join(_phrase_rows(index, phrase).withColumnRenamed("at", f"p{k}"), ["id", "col"])
     head = len(near.phrases[0].words)
 
+    def within(p: Column, words: int):
+        return lambda q: F.when(q >= p, q - p - head).otherwise(p - q - words) <= near.distance
+
     def close(p: Column) -> Column:
-        tests = [F.exists(f"p{k}", lambda q, w=len(phrase.words): F.when(q >= p, q - p - head).otherwise(p - q - w) <= near.distance) for k, phrase in enumerate(near.phrases[1:])]
+        tests = [F.exists(f"p{k}", within(p, len(phrase.words))) for k, phrase in enumerate(near.phrases[1:])]
         return reduce(Column.__and__, tests, F.lit(True))
 
     return out.select("id", "col", F.filter("at", close).alias("at")).where(F.size("at") > 0)

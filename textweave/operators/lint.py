@@ -7,7 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from textweave.functions.parse import first_heading
 from textweave.functions.text import slug
@@ -19,12 +19,12 @@ WIKILINK = r"\[\[([^\]|#]+)(?:\|[^\]]+)?\]\]"
 NOT_LOCAL = r"(?i)^(?:[a-z]+://|mailto:|#|tel:)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def heading(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(first_heading)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_blank(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(lambda t: not t.strip())
 

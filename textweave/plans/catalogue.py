@@ -1,2 +1,592 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""The query catalogue: each operator over the whole of its tables, with its DuckDB form."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from textweave.functions import parse
+from textweave.functions.text import accents, occurrences, slug, stem_table, tokens, trim
+from textweave.operators import dense, evaluate, fusion, lexical, lint, rules
+from textweave.operators.match_query import parse as match
+from textweave.plans.index import snapshot_diff
+from textweave.sources.schemas import frame_docs
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+K = 20
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+A, B = accents()
+TOKENS = "regexp_extract_all(translate(lower(coalesce(%s, '')), '" + A + "', '" + B + "'), '[\\p{L}\\p{N}]+')"
+
+
+def sql_tokens(x: str) -> str:
+    return TOKENS % x
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- documents as the docs relation -----------------------------------------------------------------
+def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("relpath"), F.split("text", "\n")[0].alias("title"), F.lit("").alias("frontmatter"), F.col("text").alias("body"), F.lit("md").alias("kind"))
+
+
+def web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    return p.select("page_id", F.col("url").alias("relpath"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit("").alias("frontmatter"), F.col("html").alias("body"), F.lit("md").alias("kind"))
+
+
+PROSE = "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS relpath, string_split(text, chr(10))[1] AS title, '' AS frontmatter, text AS body, 'md' AS kind FROM documents"
+WEB = "SELECT page_id, url AS relpath, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '' AS frontmatter, html AS body, 'md' AS kind FROM pages"
+NAMES = ", ".join(f"'{t}'" for t in TABLES)
+SCHEMAS = f"SELECT 'catalog :: ' || table_name AS relpath, table_name AS title, '' AS frontmatter, 'catalog table ' || table_name || ' columns: ' || string_agg(column_name, ', ' ORDER BY ordinal_position) AS body, 'db-table' AS kind FROM information_schema.columns WHERE table_name IN ({NAMES}) GROUP BY table_name"
+
+
+def schema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame_docs(spark, {t: read(spark, sf_dir, t) for t in TABLES})
+
+
+@query(SCHEMAS)
+def schema_docs(spark, sf_dir):
+    return schema_rows(spark, sf_dir)
+
+
+@query(f"SELECT relpath, title, kind, length(body) AS n_body FROM ({PROSE}) UNION ALL SELECT relpath, title, kind, length(body) FROM ({WEB}) UNION ALL SELECT relpath, title, kind, length(body) FROM ({SCHEMAS})")
+def docs_projection(spark, sf_dir):
+    parts = [prose(spark, sf_dir).drop("doc_id"), web(spark, sf_dir).drop("page_id"), schema_rows(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, parts).select("relpath", "title", "kind", F.length("body").cast("long").alias("n_body"))
+
+
+# -- tokens ----------------------------------------------------------------------------------------------
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, length(array_to_string(t, '')) AS n_chars FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
+def tokenize_fold(spark, sf_dir):
+    t = read(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.length(F.array_join("t", "")).cast("long").alias("n_chars"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY term")
+def term_stats(spark, sf_dir):
+    """Document and corpus frequency; counted per document first, so no distinct aggregate is needed."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+
+
+# -- lexical retrieval ---------------------------------------------------------------------------------------
+BODY = {"body": 1.0}
+
+
+def hits(spark, sf_dir, text: str, weights: dict[str, float], docs: DataFrame, id_col: str, k: int = K) -> DataFrame:
+    ix = lexical.build(docs, id_col, weights)
+    return shown(lexical.ranked(lexical.scored(ix, match(text, ix.columns)), k))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.round("score", 6).alias("score"), "rank")
+
+
+def postings_sql(docs: str, id_col: str, weights: dict[str, float]) -> str:
+    """tok(id, col, w, term, pos) and len(id, length)."""
+    parts = " UNION ALL ".join(f"SELECT {id_col} AS id, '{c}' AS col, {w} AS w, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT {id_col}, {sql_tokens(c)} AS t FROM docs)" for c, w in weights.items())
+    total = " + ".join(f"len({sql_tokens(c)})" for c in weights)
+    return f"docs AS ({docs}), tok AS ({parts}), len AS (SELECT {id_col} AS id, {total} AS length FROM docs), facts AS (SELECT count(*) AS n, avg(length) AS avg_length FROM len)"
+
+
+def bm25_sql(docs: str, id_col: str, weights: dict[str, float], leaves: list[str], holds: str, k: int = K) -> str:
+    """leaves: SQL for (id, f) of each; holds: a condition on the list ``found`` of leaf numbers."""
+    f = " UNION ALL ".join(f"SELECT id, {i} AS leaf, f FROM ({x})" for i, x in enumerate(leaves))
+    return f"""WITH {postings_sql(docs, id_col, weights)}, f AS ({f}),
+df AS (SELECT leaf, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM f, facts GROUP BY leaf, n),
+s AS (SELECT f.id, list(leaf) AS found, -sum((CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score
+  FROM f JOIN df USING (leaf) JOIN len ON len.id = f.id, facts GROUP BY f.id)
+SELECT id, round(score, 6) + 0.0 AS score, row_number() OVER (ORDER BY round(score, 9), id) AS rank FROM s WHERE {holds} QUALIFY rank <= {k}"""
+
+
+def word_sql(word: str, where: str = "") -> str:
+    return f"SELECT id, sum(w) AS f FROM tok WHERE term = '{word}' {where} GROUP BY id"
+
+
+def both(*leaves: int) -> str:
+    return " AND ".join(f"list_contains(found, {i})" for i in leaves)
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [word_sql(w) for w in ("than", "erin", "que")], "list_contains(found, 0) OR list_contains(found, 1) OR list_contains(found, 2)"))
+def bm25_topk(spark, sf_dir):
+    return hits(spark, sf_dir, "than OR erin OR que", BODY, prose(spark, sf_dir), "doc_id")
+
+
+BOTH = f"SELECT relpath, title, frontmatter, body FROM ({PROSE}) UNION ALL SELECT relpath, title, frontmatter, body FROM ({WEB})"
+
+
+def all_docs(spark, sf_dir) -> DataFrame:
+    return prose(spark, sf_dir).drop("doc_id").unionByName(web(spark, sf_dir).drop("page_id"))
+
+
+@query(bm25_sql(BOTH, "relpath", lexical.WEIGHTS, [word_sql(w) for w in ("src3", "thon", "fr")], "list_contains(found, 0) OR list_contains(found, 1) OR list_contains(found, 2)"))
+def bm25_weighted_columns(spark, sf_dir):
+    return hits(spark, sf_dir, "src3 OR thon OR fr", lexical.WEIGHTS, all_docs(spark, sf_dir), "relpath")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [word_sql(w) for w in ("than", "thes", "thed")], both(0, 1, 2)))
+def match_and(spark, sf_dir):
+    return hits(spark, sf_dir, "than thes thed", BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [word_sql(w) for w in ("des", "que")], "list_contains(found, 0) OR list_contains(found, 1)"))
+def match_or(spark, sf_dir):
+    return hits(spark, sf_dir, "des OR que", BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [word_sql(w) for w in ("thon", "thor")], "list_contains(found, 0) AND NOT list_contains(found, 1)"))
+def match_not(spark, sf_dir):
+    return hits(spark, sf_dir, "thon NOT thor", BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, ["SELECT id, sum(w) AS f FROM tok WHERE starts_with(term, 'thon') GROUP BY id"], "true"))
+def match_prefix(spark, sf_dir):
+    return hits(spark, sf_dir, "thon*", BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(WEB, "page_id", {"title": 10.0, "body": 1.0}, [word_sql("the", "AND col = 'title'")], "true"))
+def match_column_filter(spark, sf_dir):
+    return hits(spark, sf_dir, "title : the", {"title": 10.0, "body": 1.0}, web(spark, sf_dir), "page_id")
+
+
+PHRASE = "SELECT a.id, sum(a.w) AS f FROM tok a JOIN tok b ON b.id = a.id AND b.col = a.col AND b.pos = a.pos + 1 AND b.term = '{1}' WHERE a.term = '{0}' GROUP BY a.id"
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [PHRASE.format("the", "er")], "true"))
+def match_phrase(spark, sf_dir):
+    return hits(spark, sf_dir, '"the er"', BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [word_sql("the", "AND pos = 0")], "true"))
+def match_first(spark, sf_dir):
+    return hits(spark, sf_dir, "^the", BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, ["SELECT id, sum(w) AS f FROM (SELECT DISTINCT a.id, a.col, a.pos, a.w FROM tok a JOIN tok b ON b.id = a.id AND b.col = a.col AND b.term = 'thes' AND CASE WHEN b.pos >= a.pos THEN b.pos - a.pos - 1 ELSE a.pos - b.pos - 1 END <= 5 WHERE a.term = 'than') GROUP BY id"], "true"))
+def match_near(spark, sf_dir):
+    return hits(spark, sf_dir, "NEAR(than thes, 5)", BODY, prose(spark, sf_dir), "doc_id")
+
+
+@query(bm25_sql(PROSE, "doc_id", BODY, [word_sql(w) for w in ("than", "nosuchword")], "list_contains(found, 0) OR list_contains(found, 1)"))
+def match_broaden(spark, sf_dir):
+    """No document has both words, so any of them counts."""
+    return shown(lexical.search(lexical.build(prose(spark, sf_dir), "doc_id", BODY), "than nosuchword", K))
+
+
+LIKE = ("thon", "src1", "xyzzy")
+
+
+@query(
+    "WITH s AS (SELECT relpath AS id, " + " + ".join(f"contains(lower(relpath || ' ' || title || ' ' || coalesce(body, '')), '{w}')::BIGINT" for w in LIKE) + f" AS score FROM ({PROSE})) "
+    f"SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= {K}"
+)
+def like_ranked(spark, sf_dir):
+    return lexical.substring_search(prose(spark, sf_dir), " ".join(LIKE), K)
+
+
+FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN length({FLAT}) > 220 THEN regexp_replace(substring({FLAT}, 1, 220), ' [^ ]*$', '') || ' …' ELSE {FLAT} END AS passage FROM documents")
+def snippet_trim(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", trim(F.col("text")).alias("passage"))
+
+
+@query()
+def snippet_window(spark, sf_dir):
+    """Best 14-token window of each of the top hits; held against brute force in the tests."""
+    docs = prose(spark, sf_dir)
+    top = lexical.search(lexical.build(docs, "relpath", lexical.WEIGHTS), "than thes thed", K)
+    return lexical.snippets(top, docs, "than thes thed").select("id", "rank", "snippet")
+
+
+@query()
+def stemmed_match(spark, sf_dir):
+    """BM25 over Porter stems; the stemmer is held against SQLite's in the tests."""
+    ix = lexical.build(prose(spark, sf_dir), "doc_id", BODY, stem=True)
+    return shown(lexical.search(ix, "thing", K))
+
+
+@query()
+def stem_vocabulary(spark, sf_dir):
+    """(term, stem) of every distinct term."""
+    return stem_table(read(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("term")))
+
+
+# -- dense retrieval and fusion -----------------------------------------------------------------------------
+def vectors(spark, sf_dir) -> DataFrame:
+    """Two chunks a document."""
+    return read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 2).cast("long").alias("id"), F.col("vec_id").alias("chunk_ix"), F.col("embedding").alias("vector"))
+
+
+def query_vector(spark, sf_dir) -> list[float]:
+    return list(read(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()[0])
+
+
+DIST = "round(1 - list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 9) + 0.0"
+NEAR = f"SELECT floor(e.vec_id / 2)::BIGINT AS id, e.vec_id AS chunk_ix, {DIST} AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 7"
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(dense.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"SELECT id, chunk_ix, round(distance, 6) + 0.0 AS distance FROM (SELECT * FROM ({NEAR}) ORDER BY distance, id, chunk_ix LIMIT {K})")
+def knn_topk(spark, sf_dir):
+    near = dense.knn(vectors(spark, sf_dir), query_vector(spark, sf_dir), K)
+    return near.select("id", "chunk_ix", F.round("distance", 6).alias("distance"))
+
+
+OVER = f"SELECT * FROM ({NEAR}) ORDER BY distance, id, chunk_ix LIMIT 240"
+ROLLUP = f"SELECT id, min(distance) AS distance, arg_min(chunk_ix, (distance, chunk_ix)) AS chunk_ix FROM ({OVER}) GROUP BY id"
+POOL = f"SELECT *, row_number() OVER (ORDER BY distance, id) AS rank FROM ({ROLLUP}) QUALIFY rank <= 30"
+
+
+def near_pool(spark, sf_dir) -> DataFrame:
+    return dense.rollup(dense.knn(vectors(spark, sf_dir), query_vector(spark, sf_dir), fusion.over_fetch(30)).select("id", "chunk_ix", "distance"), 30)
+
+
+@query(f"SELECT id, chunk_ix, round(distance, 6) + 0.0 AS distance, rank FROM ({POOL})")
+def knn_doc_rollup(spark, sf_dir):
+    return near_pool(spark, sf_dir).select("id", "chunk_ix", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("SELECT query_id, id, chunk_ix, round(distance, 6) + 0.0 AS distance FROM (SELECT q.vec_id AS query_id, floor(e.vec_id / 2)::BIGINT AS id, e.vec_id AS chunk_ix, " + DIST + " AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY " + DIST + ", e.vec_id) <= 10)")
+def knn_batch_topk(spark, sf_dir):
+    """A stated query set (ids divisible by 50) against all vectors, one matrix product a batch."""
+    q = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").select("vec_id", "embedding").collect()
+    import numpy as np
+
+    near = dense.knn_batch(vectors(spark, sf_dir), np.array([list(r[1]) for r in q]), [r[0] for r in q], 10)
+    return near.select("query_id", "id", "chunk_ix", F.round("distance", 6).alias("distance"))
+
+
+LEX_POOL = bm25_sql(PROSE, "doc_id", BODY, [word_sql(w) for w in ("than", "thes")], both(0, 1), 30)
+RRF = f"SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT id, rank FROM ({LEX_POOL}) UNION ALL SELECT id, rank FROM ({POOL})) GROUP BY id"
+
+
+def word_pool(spark, sf_dir) -> DataFrame:
+    ix = lexical.build(prose(spark, sf_dir), "doc_id", BODY)
+    return lexical.ranked(lexical.scored(ix, match("than thes")), 30)
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({RRF})")
+def rrf_fuse(spark, sf_dir):
+    return fusion.rrf(word_pool(spark, sf_dir), near_pool(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH h AS (SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM ({RRF}) QUALIFY rank <= 8) "
+    f"SELECT h.id, round(h.score, 4) AS score, h.rank, coalesce(d.title, '') AS title, coalesce(d.kind, '') AS kind, 'vector ' || p.chunk_ix AS passage FROM h LEFT JOIN ({PROSE}) d ON d.doc_id = h.id LEFT JOIN ({POOL}) p ON p.id = h.id"
+)
+def hybrid_search(spark, sf_dir):
+    """Words and vectors fused; the passage names the winning chunk, as vectors have no text here."""
+    near = near_pool(spark, sf_dir)
+    passage = near.select("id", F.concat(F.lit("vector "), F.col("chunk_ix").cast("string")).alias("text"))
+    out = fusion.hybrid(word_pool(spark, sf_dir), near, prose(spark, sf_dir), 8, "doc_id", passage=passage)
+    return out.select("id", F.round("score", 4).alias("score"), "rank", "title", "kind", "passage")
+
+
+# -- evaluation -------------------------------------------------------------------------------------------------
+def gold(spark, sf_dir) -> DataFrame:
+    """A query for each passage that documents contain: its first six words; gold: those documents."""
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    found = d.select("doc_id", "lang", "text").join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), F.contains("text", F.col("passage")))
+    return found.groupBy("item_id", "passage").agg(F.sort_array(F.collect_set("doc_id")).alias("gold"), F.min("lang").alias("class")).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("passage", " "), 1, 6), " ").alias("query"), "gold", "class")
+
+
+GOLD = "SELECT item_id AS query_id, array_to_string(string_split(b.text, ' ')[1:6], ' ') AS query, list(DISTINCT doc_id) AS gold, min(lang) AS class FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id, b.text"
+GREP = """SELECT query_id, id, score, total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, total DESC, id) AS rank FROM (
+SELECT query_id, doc_id AS id, list_sum(list_transform(ws, lambda w: contains(t, w)::BIGINT))::BIGINT AS score, list_sum(list_transform(ws, lambda w: (length(t) - length(replace(t, w, ''))) // length(w)))::BIGINT AS total
+FROM (SELECT query_id, string_split(lower(query), ' ') AS ws FROM gold), (SELECT doc_id, lower(text) AS t FROM documents)) WHERE score > 0 QUALIFY rank <= 8"""
+LEX = f"""SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM (
+SELECT t.query_id, s.id, round(-sum(part), 9) AS score, count(*) AS have, any_value(words) AS words, max(count(*) = any_value(words)) OVER (PARTITION BY t.query_id) AS whole FROM (SELECT id, term, (CASE WHEN raw <= 0 THEN 1e-6 ELSE raw END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length)) AS part
+FROM f JOIN idf USING (term) JOIN len USING (id), facts) s JOIN terms t ON t.term = s.term GROUP BY t.query_id, s.id) WHERE have = words OR NOT whole) WHERE rank <= 8"""
+ARMS = f"""WITH gold AS ({GOLD}), {postings_sql(PROSE, 'doc_id', BODY)},
+terms AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS words FROM (SELECT query_id, unnest(list_distinct({sql_tokens('query')})) AS term FROM gold)),
+f AS (SELECT id, term, sum(w) AS f FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY id, term),
+idf AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM f, facts GROUP BY term, n),
+hits AS (SELECT 'grep' AS arm, query_id, id, rank FROM ({GREP}) UNION ALL SELECT 'lexical', query_id, id, rank FROM ({LEX})),
+ranks AS (SELECT a.arm, g.query_id, g.class, (SELECT min(h.rank) FROM hits h WHERE h.arm = a.arm AND h.query_id = g.query_id AND list_contains(g.gold, h.id)) AS rank FROM gold g, (VALUES ('grep'), ('lexical')) a(arm))"""
+
+
+def arm_ranks(spark, sf_dir) -> DataFrame:
+    """(arm, query_id, class, rank)."""
+    g = gold(spark, sf_dir)
+    docs = prose(spark, sf_dir)
+    arms = {"grep": evaluate.grep(docs.select(F.col("doc_id").alias("id"), F.col("body").alias("text")), g.select("query_id", "query")), "lexical": lexical.search_batch(lexical.build(docs, "doc_id", BODY), g.select("query_id", "query"))}
+    return reduce(DataFrame.unionByName, [evaluate.gold_ranks(g, h).withColumn("arm", F.lit(a)) for a, h in arms.items()]).select("arm", "query_id", "class", "rank")
+
+
+@query(f"WITH gold AS ({GOLD}) SELECT query_id, id, score, total, rank FROM ({GREP})")
+def grep_ranked(spark, sf_dir):
+    g = gold(spark, sf_dir)
+    return evaluate.grep(prose(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("body").alias("text")), g.select("query_id", "query"))
+
+
+@query(ARMS + " SELECT arm, query_id, class, rank, coalesce((rank <= 8)::DOUBLE, 0) AS recall, round(coalesce(1.0::DOUBLE / rank, 0), 6) AS rr FROM ranks")
+def gold_rank_metrics(spark, sf_dir):
+    r = arm_ranks(spark, sf_dir)
+    return r.select("*", evaluate.recall(F.col("rank"), 8).alias("recall"), F.round(evaluate.reciprocal(F.col("rank")), 6).alias("rr"))
+
+
+@query(ARMS + " SELECT arm, class, count(*) AS n, round(avg(coalesce((rank <= 8)::DOUBLE, 0)), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM ranks GROUP BY GROUPING SETS ((arm, class), (arm))")
+def bench_rollup(spark, sf_dir):
+    return evaluate.summary(arm_ranks(spark, sf_dir), 8, "arm")
+
+
+PAIRED = "SELECT a.query_id, coalesce(1.0::DOUBLE / a.rank, 0) - coalesce(1.0::DOUBLE / b.rank, 0) AS delta FROM ranks a JOIN ranks b USING (query_id) WHERE a.arm = 'lexical' AND b.arm = 'grep'"
+
+
+def paired(spark, sf_dir) -> DataFrame:
+    r = arm_ranks(spark, sf_dir)
+    return evaluate.deltas(r.where("arm = 'lexical'"), r.where("arm = 'grep'"))
+
+
+@query(ARMS + f" SELECT count(*) AS n, round(avg(delta), 6) + 0.0 AS delta FROM ({PAIRED})")
+def paired_delta(spark, sf_dir):
+    return paired(spark, sf_dir).agg(F.count("*").alias("n"), (F.round(F.avg("delta"), 6) + 0.0).alias("delta"))
+
+
+@query(
+    ARMS + f""", d AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta FROM ({PAIRED})), n AS (SELECT count(*) AS n FROM d),
+m AS (SELECT round, round(avg(delta), 9) AS mean FROM (SELECT r.round, ('0x' || md5(r.round || '|' || k.draw)[1:8])::UBIGINT % n AS i FROM range(500) r(round), n, LATERAL (SELECT unnest(range(n)) AS draw) k) x JOIN d ON d.i = x.i GROUP BY round),
+o AS (SELECT mean, row_number() OVER (ORDER BY mean, round) AS r FROM m)
+SELECT round(max(mean) FILTER (r = 13), 3) + 0.0 AS lo, round(max(mean) FILTER (r = 488), 3) + 0.0 AS hi FROM o"""
+)
+def bootstrap_ci(spark, sf_dir):
+    d = paired(spark, sf_dir).withColumn("i", F.row_number().over(Window.orderBy("query_id")) - 1).select("i", "delta")
+    return evaluate.bootstrap_frame(d.cache(), 500).select((F.col("lo") + 0.0).alias("lo"), (F.col("hi") + 0.0).alias("hi"))
+
+
+# -- parsers ---------------------------------------------------------------------------------------------------
+def notes(spark, sf_dir) -> DataFrame:
+    """Markdown notes made of documents: frontmatter, a heading, the text, a second section, links."""
+    d = read(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.when(F.col("doc_id") % 10 == 3, F.lit("---\nlang: x\n")).otherwise(F.concat(F.lit("---\nlang: "), "lang", F.lit("\nsource: \""), "source", F.lit("\"\ntags: [a, 'b']\nempty:\n---\n"))),
+        F.when(F.col("doc_id") % 7 == 2, F.lit("")).otherwise(F.concat(F.lit("# Note "), (F.col("doc_id") % 50).cast("string"), F.lit("\n"))),
+        F.col("source"), F.lit(" and [next]("), ((F.col("doc_id") + 1) % 1500).cast("string"), F.lit(".md) [[Note "), i, F.lit("]] [[n-"), i, F.lit("]]\n\n## More\n"), F.col("lang"), F.lit("\n"),
+    )
+    text = F.when(F.col("doc_id") % 40 == 5, F.lit(" \n")).otherwise(text)
+    return d.select("doc_id", F.concat(F.lit("notes/"), i, F.lit(".md")).alias("path"), text.alias("text"))
+
+
+NOTES = """SELECT doc_id, 'notes/' || doc_id || '.md' AS path, CASE WHEN doc_id % 40 = 5 THEN ' ' || chr(10) ELSE replace(
+(CASE WHEN doc_id % 10 = 3 THEN '---~lang: x~' ELSE '---~lang: ' || lang || '~source: "' || source || '"~tags: [a, ''b'']~empty:~---~' END)
+|| (CASE WHEN doc_id % 7 = 2 THEN '' ELSE '# Note ' || (doc_id % 50) || '~' END)
+|| source || ' and [next](' || ((doc_id + 1) % 1500) || '.md) [[Note ' || doc_id || ']] [[n-' || doc_id || ']]~~## More~' || lang || '~', '~', chr(10)) END AS text, doc_id % 40 = 5 AS blank, doc_id % 10 = 3 AND doc_id % 40 <> 5 AS broken FROM documents"""
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def keys_of(texts: pd.Series) -> pd.Series:
+    return texts.fillna("").map(parse.frontmatter)
+
+
+@query(f"WITH n AS ({NOTES}), d AS (SELECT * FROM documents JOIN n USING (doc_id) WHERE NOT blank AND NOT broken) SELECT path, 'lang' AS key, lang AS value FROM d UNION ALL SELECT path, 'source', source FROM d UNION ALL SELECT path, 'tags', 'a, b' FROM d")
+def frontmatter_eav(spark, sf_dir):
+    return notes(spark, sf_dir).select("path", F.explode(keys_of("text")).alias("key", "value"))
+
+
+@query(f"SELECT path FROM ({NOTES}) JOIN documents USING (doc_id) WHERE NOT blank AND NOT broken AND lang = 'fr'")
+def frontmatter_filter(spark, sf_dir):
+    return frontmatter_eav(spark, sf_dir).where("key = 'lang' and value = 'fr'").select("path")
+
+
+HEADING = "CASE WHEN blank OR broken THEN '' WHEN doc_id % 7 = 2 THEN 'More' ELSE 'Note ' || (doc_id % 50) END"
+
+
+@query(f"SELECT path, {HEADING} AS title FROM ({NOTES})")
+def first_heading(spark, sf_dir):
+    return notes(spark, sf_dir).select("path", lint.heading("text").alias("title"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def chunks_of(texts: pd.Series) -> pd.Series:
+    return texts.fillna("").map(parse.chunks)
+
+
+@query(
+    f"WITH n AS ({NOTES}), s AS (SELECT path, doc_id, broken, regexp_split_to_array(text, '(?m)(^# Note|^## More)') AS p, text FROM n WHERE NOT blank) "
+    "SELECT path, 0::BIGINT AS chunk_ix, CASE WHEN broken THEN length(trim(text, chr(10))) ELSE length(trim(p[1], chr(10))) END AS n_chars FROM s "
+    "UNION ALL SELECT path, 1, length(CASE WHEN doc_id % 7 = 2 THEN '## More' ELSE '# Note' END || rtrim(p[2], chr(10))) FROM s WHERE NOT broken "
+    "UNION ALL SELECT path, 2, length('## More' || rtrim(p[3], chr(10))) FROM s WHERE NOT broken AND doc_id % 7 <> 2"
+)
+def section_chunks(spark, sf_dir):
+    rows = notes(spark, sf_dir).select("path", F.posexplode(chunks_of("text")).alias("chunk_ix", "chunk"))
+    flat = F.regexp_replace("chunk", r"^\n+|\n+\z", "")
+    return rows.select("path", F.col("chunk_ix").cast("long").alias("chunk_ix"), F.length(flat).cast("long").alias("n_chars"))
+
+
+@query()
+def chunk_packing(spark, sf_dir):
+    """Chunks of whole documents; the tests hold the cap and that no word is lost."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks_of("text")).alias("chunk_ix", "chunk"))
+    return rows.select("doc_id", "chunk_ix", F.length("chunk").alias("n_chars"))
+
+
+@F.pandas_udf(T.StringType())
+def purpose_of(paths: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([parse.purpose(p, t) for p, t in zip(paths, texts)])
+
+
+@F.pandas_udf(T.StringType())
+def block_of(paths: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([parse.doc_block(p, t) for p, t in zip(paths, texts)])
+
+
+@query("SELECT doc_id, 'Reads ' || source || ' in ' || lang || '.' AS purpose, 'Reads ' || source || ' in ' || lang || '. And more' || chr(10) || 'second line' AS block FROM documents")
+def purpose_line(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    ext = F.when(F.col("doc_id") % 3 == 0, ".py").when(F.col("doc_id") % 3 == 1, ".js").otherwise(".sql")
+    mark = F.when(F.col("doc_id") % 3 == 0, "# ").when(F.col("doc_id") % 3 == 1, "// ").otherwise("-- ")
+    text = F.concat(mark, F.lit("-----\n"), mark, F.lit("Reads "), "source", F.lit(" in "), "lang", F.lit(". And more\n"), mark, F.lit("second line\nx = 1\n"))
+    rows = d.select("doc_id", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), ext).alias("path"), text.alias("code"))
+    return rows.select("doc_id", purpose_of("path", "code").alias("purpose"), block_of("path", "code").alias("block"))
+
+
+# -- hashes and snapshots -------------------------------------------------------------------------------------
+@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def content_hash_dups(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return d.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents as they were, and after an edit: some gone, some longer, some touched, some new."""
+    d = read(spark, sf_dir, "documents")
+    old = d.select(F.col("doc_id").cast("string").alias("relpath"), F.col("n_chars").alias("size"), F.lit(1.0).alias("mtime"), F.sha2("text", 256).alias("hash"))
+    m = F.col("doc_id") % 10
+    new = d.where(m != 0).select(F.col("doc_id").cast("string").alias("relpath"), F.when(m == 1, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(m.isin(1, 2), 2.0).otherwise(1.0).alias("mtime"), F.when(m == 1, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("hash"))
+    extra = d.where(m == 3).select(F.concat(F.lit("copy-"), F.col("doc_id").cast("string")).alias("relpath"), F.col("n_chars").alias("size"), F.lit(2.0).alias("mtime"), F.sha2("text", 256).alias("hash"))
+    return old, new.union(extra)
+
+
+@query("SELECT doc_id::VARCHAR AS relpath, CASE doc_id % 10 WHEN 0 THEN 'deleted' WHEN 1 THEN 'maybe' WHEN 2 THEN 'maybe' ELSE 'same' END AS state FROM documents UNION ALL SELECT 'copy-' || doc_id, 'added' FROM documents WHERE doc_id % 10 = 3")
+def file_snapshot_diff(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    return snapshot_diff(new, old)
+
+
+@query("SELECT relpath, sha256(t) AS hash, mtime FROM (SELECT doc_id::VARCHAR AS relpath, CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END AS t, CASE WHEN doc_id % 10 IN (1, 2) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS mtime FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT 'copy-' || doc_id, text, 2.0 FROM documents WHERE doc_id % 10 = 3)")
+def incremental_upsert(spark, sf_dir):
+    """Old rows without what is gone or changed, and the changed rows; touched rows get their new time."""
+    old, new = snapshots(spark, sf_dir)
+    diff = snapshot_diff(new, old).where("state <> 'same'")
+    fresh = new.join(diff.where("state in ('added', 'maybe')"), "relpath", "left_semi")
+    return old.join(diff, "relpath", "left_anti").unionByName(fresh).select("relpath", "hash", "mtime")
+
+
+# -- rules and lint ---------------------------------------------------------------------------------------------
+TYPES = [rules.RecordType("note", "src3", True, ("*9.md",), (r"^[A-ZÀ-Ý]", r"License")), rules.RecordType("contact", "src4/en", False, (), (r"@",)), rules.RecordType("other", "src3", True)]
+
+
+@query("SELECT doc_id, CASE WHEN source = 'src3' AND doc_id % 10 <> 9 THEN 'note' WHEN source = 'src4' AND lang = 'en' THEN 'contact' END AS type FROM documents")
+def classify_type(spark, sf_dir):
+    return prose(spark, sf_dir).select("doc_id", rules.classify(F.col("relpath"), F.col("body"), TYPES).alias("type"))
+
+
+REQUIRE = f"""WITH p AS (SELECT d.doc_id, relpath, body, source, lang FROM ({PROSE}) d JOIN documents USING (doc_id))
+SELECT 'warn' AS severity, 'missing-field' AS "check", relpath AS path, 'note: missing required pattern /^[A-ZÀ-Ý]/' AS message FROM p WHERE source = 'src3' AND doc_id % 10 <> 9 AND NOT regexp_matches(body, '(?m)^[A-ZÀ-Ý]')
+UNION ALL SELECT 'warn', 'missing-field', relpath, 'note: missing required pattern /License/' FROM p WHERE source = 'src3' AND doc_id % 10 <> 9 AND NOT contains(body, 'License')
+UNION ALL SELECT 'warn', 'missing-field', relpath, 'contact: missing required pattern /@/' FROM p WHERE source = 'src4' AND lang = 'en' AND NOT contains(body, '@')"""
+
+
+@query(REQUIRE)
+def require_check(spark, sf_dir):
+    return rules.missing_fields(prose(spark, sf_dir), TYPES, "relpath", "body")
+
+
+def finding_sql(severity: str, check: str, message: str, source: str) -> str:
+    return f"SELECT '{severity}' AS severity, '{check}' AS \"check\", path, {message} AS message FROM {source}"
+
+
+EMPTY = finding_sql("error", "empty-file", "'file is empty'", f"({NOTES}) WHERE blank")
+NO_HEADING = finding_sql("warn", "no-heading", "'no heading found'", f"({NOTES}) WHERE NOT blank AND broken")
+BROKEN = finding_sql("warn", "malformed-frontmatter", "'frontmatter is not closed'", f"({NOTES}) WHERE broken")
+DEAD = finding_sql("warn", "dead-link", "'link target not found: ' || ((doc_id + 1) % 1500) || '.md'", f"({NOTES}) WHERE NOT blank AND (doc_id + 1) % 1500 NOT IN (SELECT doc_id FROM ({NOTES}) WHERE NOT blank)")
+WIKI = finding_sql("info", "dangling-wikilink", "'no document for [[Note ' || doc_id || ']]'", f"({NOTES}) WHERE NOT blank") + " UNION ALL " + finding_sql("info", "dangling-wikilink", "'no document for [[n-' || doc_id || ']]'", f"({NOTES}) WHERE NOT blank")
+TITLES = finding_sql("info", "duplicate-title", "'title in ' || n || ' documents: ' || title", f"(SELECT *, count(*) OVER (PARTITION BY title) AS n FROM (SELECT path, {HEADING} AS title FROM ({NOTES}) WHERE NOT blank) WHERE title <> '') WHERE n > 1")
+
+
+def full_notes(spark, sf_dir) -> DataFrame:
+    return notes(spark, sf_dir).where(~lint.is_blank("text"))
+
+
+@query(EMPTY)
+def lint_empty(spark, sf_dir):
+    return lint.empty_files(notes(spark, sf_dir))
+
+
+@query(NO_HEADING)
+def lint_no_heading(spark, sf_dir):
+    return lint.no_heading(full_notes(spark, sf_dir))
+
+
+@query(BROKEN)
+def lint_malformed_fm(spark, sf_dir):
+    return lint.bad_frontmatter(full_notes(spark, sf_dir))
+
+
+@query(DEAD)
+def dead_links(spark, sf_dir):
+    return lint.dead_links(full_notes(spark, sf_dir))
+
+
+@query(WIKI)
+def dangling_wikilinks(spark, sf_dir):
+    return lint.dangling_wikilinks(full_notes(spark, sf_dir))
+
+
+@query(finding_sql("info", "stale", "'not changed for ' || floor((epoch(TIMESTAMP '2024-02-01') - epoch(ts)) / 86400)::BIGINT || ' days'", "(SELECT *, 'event/' || event_id AS path FROM events) WHERE (epoch(TIMESTAMP '2024-02-01') - epoch(ts)) / 86400 > 20"))
+def lint_stale(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("event/"), F.col("event_id").cast("string")).alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return lint.stale(e.select("path", (F.col("us") / 1e6).alias("mtime")), 1706745600.0, 20)
+
+
+@query(TITLES)
+def duplicate_titles(spark, sf_dir):
+    return lint.duplicate_titles(full_notes(spark, sf_dir).select("path", lint.heading("text").alias("title")))
+
+
+@query(f'SELECT severity, "check", count(*) AS n FROM ({EMPTY} UNION ALL {NO_HEADING} UNION ALL {BROKEN} UNION ALL {DEAD} UNION ALL {WIKI} UNION ALL {TITLES}) GROUP BY ALL')
+def lint_summary(spark, sf_dir):
+    docs = notes(spark, sf_dir).withColumn("mtime", F.lit(0.0))
+    return lint.lint(docs, 0.0).groupBy("severity", "check").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
+def slug_and_occurrences(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", slug(F.substring("text", 1, 60)).alias("slug"), occurrences(F.col("text"), F.lit("the")).alias("n"))
+
+
+# -- event log ----------------------------------------------------------------------------------------------------
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum((props ->> '$.k')::BIGINT) AS k, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+def event_log_summary(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"), F.round(F.avg("value"), 4).alias("mean"))
