@@ -130,8 +130,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = docs.select(_source(source_col).alias("s"), word_tokens(F.col(text_col)).alias("n"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(_side(mixture.select("s", "passes", "rest")), "s").where("rest > 0")
     rows = rows.select("s", "n", "rest", _hash(last, "_i", "_t", seed).alias("h"))
     cuts = _running(rows, ["s"]).where("upto <= rest").groupBy("s").agg(F.max("h").alias("cut"))
-    known = table(mixture.join(cuts, "s", "left").select(F.col("s").alias("_s"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut")), "cuts")
-    joined = docs.withColumn("_s", _source(source_col)).join(_side(known), "_s")
-    more = F.when(_hash(F.col("_passes") + 1, id_col, text_col, seed) <= F.col("_cut"), 1).otherwise(0)
-    times = joined.withColumn("_times", F.col("_passes") + more).where("_times > 0")
-    return times.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    known = table(mixture.join(cuts, "s", "left").select(F.col("s").alias("__tw_s"), F.col("passes").alias("__tw_passes"), F.col("cut").alias("__tw_cut")), "cuts")
+    joined = docs.withColumn("__tw_s", _source(source_col)).join(_side(known), "__tw_s")
+    more = F.when(_hash(F.col("__tw_passes") + 1, id_col, text_col, seed) <= F.col("__tw_cut"), 1).otherwise(0)
+    times = joined.withColumn("__tw_times", F.col("__tw_passes") + more).where("__tw_times > 0")
+    return times.withColumn("__tw_epoch", F.explode(F.sequence(F.lit(1), F.col("__tw_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _search_sql(name: str, list_agg: str, test: str, a: str, b: str) -> str:
+    grid = f"list_transform(range({WAYS + 1}), lambda k: a + k * ((b - a) / {WAYS}))"
+    return f"""{name} AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b UNION ALL SELECT i + 1, {a}, {b} FROM (
+  SELECT i, a, b, {list_agg}(list_filter({grid}, lambda x: {test})) AS best FROM {name}, ps WHERE i < {PASSES}))"""
+
+
+_Z, _S = "list_sum(list_transform(l, lambda p: pow(p, x)))", "list_sum(list_transform(l, lambda p: pow(p, x) * ln(p)))"
+_ENTROPY = f"ln({_Z}) - x * {_S} / {_Z} >= target"
+#: The query with its defaults; positions are plain running sums here.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(1) || 'none') AS s, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')))::BIGINT AS n FROM documents),
+t AS (SELECT s, sum(n)::BIGINT AS tokens FROM d GROUP BY s), sh AS (SELECT s, tokens, tokens / (SELECT sum(tokens)::DOUBLE FROM t) AS p FROM t),
+ps AS (SELECT list(p) AS l, min(p) AS low, max(p) AS high, (sum(-p * ln(p)) + ln(count(*))) / 2 AS target FROM sh),
+{_search_sql("e", "list_max", _ENTROPY, "coalesce(best, a)", f"least(b, coalesce(best, a) + (b - a) / {WAYS})")},
+{_search_sql("r", "list_min", "pow(low / high, x - 1) <= 2.0", f"greatest(a, coalesce(best, b) - (b - a) / {WAYS})", "coalesce(best, b)")},
+x AS (SELECT CASE WHEN low = high THEN 1.0 ELSE round(greatest((SELECT a FROM e WHERE i = {PASSES}), (SELECT b FROM r WHERE i = {PASSES})), 6) END AS x, high FROM ps),
+q AS (SELECT s, tokens, floor(tokens * pow(p / high, x - 1) + 1e-6)::BIGINT AS quota FROM sh, x),
+m AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM q),
+o AS (SELECT d.*, m.tokens, m.passes, m.rest, unnest(range(1, passes + 1 + (rest > 0)::BIGINT)) AS epoch FROM d JOIN m USING (s)),
+u AS (SELECT *, sum(n) OVER (PARTITION BY s, epoch ORDER BY md5('42|' || epoch || '|' || doc_id)) AS upto FROM o)
+SELECT doc_id, source, epoch::INTEGER AS epoch, n AS n_tokens, ((epoch - 1) * tokens + upto)::BIGINT AS position FROM u WHERE epoch <= passes OR upto <= rest
+"""

@@ -62,4 +62,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_language_id, op3_license_scan, op4_mixing, op5_quality_rules, op6_exact_dedup, op7_simhash, op8_toxicity, op9_line_dedup, op10_token_counts)
 }
-ORACLE: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}

@@ -235,7 +235,7 @@ def score(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, **how) -> DataFrame:
     """docs, with their own columns, without the rows that score 0.5 or more."""
     lex = learn_lexicon(docs, labels, F.coalesce(crc_mod(id_col, modulus), F.lit(held)) != held, id_col, text_col, **how)
-    return score(docs, lex, id_col, text_col, "_toxic_score", "_toxic").where("_toxic = 0").select(*docs.columns)
+    return score(docs, lex, id_col, text_col, "__tw_score", "__tw_toxic").where("__tw_toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, **how) -> DataFrame:
