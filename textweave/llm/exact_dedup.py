@@ -61,14 +61,19 @@ def run_state(spark: SparkSession, path: str, schema: T.StructType, id_col: str,
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of the many stores reserves megabytes
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = T.StructType([*state.schema.fields])
     try:
         updates = spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
