@@ -34,8 +34,8 @@ def test_budget_and_entropy(docs):
     assert {s: r.weight for s, r in plan.items()} == pytest.approx({s: r.share for s, r in plan.items()}, abs=1e-4)  # exponent 1
     flat = [r.weight for r in mixing.plan(docs, target_entropy=99.0, max_epochs=1e9).collect()]
     assert max(flat) - min(flat) < 1e-9  # exponent 0
-    few = mixing.order(docs, budget=50).collect()
-    assert few and sum(r.n_tokens for r in few) <= 50
+    few = mixing.order(docs, budget=500).collect()  # quotas that hold the longest of most sources' texts
+    assert few and sum(r.n_tokens for r in few) <= 500
 
 
 def test_edges(spark, docs):

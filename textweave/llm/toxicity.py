@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from textweave.llm.common import crc_mod, prepare
 
 _LOOKS = dict(zip("аеорсухіјѕԁһԛԝӏмкнвтиαερουιντκβγ", "aeopcyxijsdhqwlmkhbtuaepouivtkby"))
-_SIGNS = dict(zip("0134579@$!|", "oleastgasii"))
+_SIGNS = dict(zip("0134579@$!|", "oieastgasii"))
 _STEMS = (4, 5, 6)
 _FOLD: dict[int, int] = {}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +53,7 @@ def _unmask(m: re.Match) -> str:
     token = m.group()
     letters = sum(ch.isalpha() for ch in token)
     body = token.rstrip("!|")
-    if letters < 2 or sum(not ch.isalpha() for ch in body) > letters:
+    if letters < 2 or sum(not ch.isalpha() for ch in body) > letters + 1:
         return token
     return "".join(_SIGNS.get(ch, ch) for ch in body) + token[len(body) :]
 
