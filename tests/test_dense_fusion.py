@@ -32,14 +32,13 @@ def test_http_embedder():
     server.shutdown()
 
 
-class Bad:
-    dims = 3
-
-    def embed(self, texts):
-        raise dense.EmbeddingError("down")
+def test_embed(spark):
+    class Bad:  # local, so that workers get it by value
+        dims = 3
 
+        def embed(self, texts):
+            raise dense.EmbeddingError("down")
 
-def test_embed(spark):
     rows = spark.createDataFrame([(1, "fox hound"), (2, ""), (3, None)], "id long, text string")
     out = {r.id: r.vector for r in dense.embed(rows, "text", dense.HashingEmbedder(16)).collect()}
     assert np.isclose(np.linalg.norm(out[1]), 1) and not any(out[2]) and not any(out[3])

@@ -85,7 +85,7 @@ def porter(word: str) -> str:
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         word = word[:-1] if _measure(word[:-3]) else word
     else:
         for end in ("ed", "ing"):

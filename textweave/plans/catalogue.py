@@ -585,8 +585,8 @@ def slug_and_occurrences(spark, sf_dir):
 
 
 # -- event log ----------------------------------------------------------------------------------------------------
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum((props ->> '$.k')::BIGINT) AS k, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum((props ->> '$.k')::BIGINT) AS k, sum(value::DECIMAL(18, 4))::DOUBLE / count(value) AS mean FROM events GROUP BY 1, 2")
 def event_log_summary(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"), F.round(F.avg("value"), 4).alias("mean"))
+    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"), (F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")).alias("mean"))
