@@ -299,8 +299,10 @@ def rrf_fuse(spark, sf_dir):
 
 
 @query(
-    f"WITH h AS (SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM ({RRF}) QUALIFY rank <= 8) "
-    f"SELECT h.id, round(h.score, 4) AS score, h.rank, coalesce(d.title, '') AS title, coalesce(d.kind, '') AS kind, 'vector ' || p.chunk_ix AS passage FROM h LEFT JOIN ({PROSE}) d ON d.doc_id = h.id LEFT JOIN ({POOL}) p ON p.id = h.id"
+    f"WITH pool AS MATERIALIZED ({POOL}), lex AS MATERIALIZED ({LEX_POOL}), "  # a join's filter must not reach under their limits
+    "f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT id, rank FROM lex UNION ALL SELECT id, rank FROM pool) GROUP BY id), "
+    "h AS (SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY rank <= 8) "
+    f"SELECT h.id, round(h.score, 4) AS score, h.rank, coalesce(d.title, '') AS title, coalesce(d.kind, '') AS kind, 'vector ' || p.chunk_ix AS passage FROM h LEFT JOIN ({PROSE}) d ON d.doc_id = h.id LEFT JOIN pool p ON p.id = h.id"
 )
 def hybrid_search(spark, sf_dir):
     """Words and vectors fused; the passage names the winning chunk, as vectors have no text here."""
