@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from textweave.llm.common import prepare, table
 from textweave.llm.token_counts import default_path
 
-ROWS_PER_GROUP = 2_000
+ROWS_PER_GROUP, SALTS_PER_BLOCK = 2_000, 4_096
 
 
 def patterns(capacity: int) -> np.ndarray:
@@ -178,8 +178,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(groups, F.col("length").cast("int"))))
     sizes = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
     rows = spark.sparkContext.broadcast(places(plan(hist, capacity), capacity))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Prefix sums in two levels: inside blocks of salts, and over the blocks of a length.
+    sizes = sizes.withColumn("block", F.floor(F.col("salt") / SALTS_PER_BLOCK))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("length", "block").orderBy("salt").rowsBetween(*earlier)
+    over = Window.partitionBy("length").orderBy("block").rowsBetween(*earlier)
+    blocks = sizes.groupBy("length", "block").agg(F.sum("n").alias("m")).select("length", "block", F.coalesce(F.sum("m").over(over), F.lit(0)).alias("from"))
+    sizes = sizes.select("length", "salt", "block", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("in_block"))
+    bases = sizes.join(blocks, ["length", "block"]).select("length", "salt", (F.col("from") + F.col("in_block")).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = parts.withColumn("r", F.row_number().over(within)).join(bases, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("r") - 1).alias("rank"))
 
