@@ -3,10 +3,12 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from textweave.llm import hamming
 from textweave.llm.common import connected_components
-from textweave.llm.hamming import BkTree, Sets, by_unit, linked, runs, units
-from textweave.llm.simhash_dedup import fingerprint_links, simhash_components, simhash_dedup
+from textweave.llm.hamming import BkTree, Sets, cluster, families
+from textweave.llm.simhash_dedup import near_components, simhash_components, simhash_dedup
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -48,9 +50,52 @@ def test_components(spark):
     want = sorted(((i is None, i or 0, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, components([i for i, _ in rows], fps))), key=repr)
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.component_id) for r in simhash_components(docs).collect()), key=repr)
     assert got == want
-    kept = {r.doc_id for r in simhash_dedup(docs).select("doc_id").collect()}
-    assert kept - {None} == {i for _, i, _, c in want if i == c and _ is not True}
-    assert simhash_components(docs.where("false")).count() == 0 and simhash_dedup(docs.where("false")).count() == 0
+    assert simhash_components(docs.where("false")).count() == 0
+
+
+def near_groups(rows, similarity=0.8):
+    """Over all pairs: the smallest id of each row's group."""
+    grams = []
+    for _, t in rows:
+        w = (t or "").translate(LOW).encode().split()
+        grams.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    sets = Sets(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = grams[i], grams[j]
+            if a == b or len(a & b) >= similarity * len(a | b):
+                sets.join(i, j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            r = sets.find(k)
+            low[r] = min(low.get(r, i), i)
+    return [low.get(sets.find(k)) for k in range(len(rows))]
+
+
+@pytest.mark.parametrize("chunk", [8, 512])
+def test_near_copies(spark, monkeypatch, chunk):
+    """Edits, reorderings and one large group; small chunks cut the shards into many units."""
+    monkeypatch.setattr(hamming, "CHUNK", chunk)
+    monkeypatch.setattr(hamming.cluster, "__defaults__", (None, None, chunk))
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(300)] + ["Ünï", "É"]
+    base = [[draw.choice(words) for _ in range(draw.choice([30, 80, 300]))] for _ in range(10)]
+    rows = []
+    for k in range(220):
+        w = list(base[0] if k % 3 == 0 else draw.choice(base))
+        for _ in range(draw.randint(0, 1 + len(w) // 60)):
+            w[draw.randrange(len(w))] = draw.choice(words)
+        rows.append((k, draw.choice([" ", "\n", "\t "]).join(w)))
+    rows += [(300, None), (301, ""), (302, " \n"), (303, "One"), (304, "one\ntwo"), (None, "one two"), (None, None), (305, "one"), (3, rows[3][1]), (3, rows[3][1]), (306, "long text " * 100_000)]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in rows], "doc_id long, text string, node string, component string")
+    want = near_groups(rows)
+    got = sorted(((r.id is None, r.id or 0, r.component_id) for r in near_components(docs).collect()), key=repr)
+    assert got == sorted(((i is None, i or 0, c) for (i, _), c in zip(rows, want)), key=repr)
+    kept = simhash_dedup(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} - {None} == {i for (i, _), c in zip(rows, want) if i == c and i is not None}
+    assert simhash_dedup(docs.where("false")).count() == 0
 
 
 def test_bk_tree():
@@ -70,17 +115,8 @@ def test_links_with_small_chunks(spark, chunk):
     """One shard cut into many units gives the same components."""
     rng = np.random.default_rng(2)
     values = sorted({(7 << 40) ^ sum(1 << int(b) for b in rng.choice(20, 3, replace=False)) for _ in range(60)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
-    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
-
-    def search(batches):
-        import pyarrow as pa
-
-        for fps, roles in runs(batches, 5):
-            pairs = list(linked(fps, roles, 2))
-            yield pa.RecordBatch.from_arrays([pa.array([fps[s] for s, _ in pairs], pa.int64()), pa.array([fps[t] for _, t in pairs], pa.int64())], ["a", "b"])
-
-    links = by_unit(units(nodes, "fp", 2, 4, chunk).select("key", "i", "j", "fp", "role")).mapInArrow(search, "a long, b long") if chunk < 2048 else fingerprint_links(nodes, 2, 4)
-    got = {r.node: r.component for r in connected_components(links).collect()}
+    nodes = spark.createDataFrame([(v, v) for v in values], "node long, fp long")
+    got = {r.node: r.component for r in cluster(nodes, [families(F.col("fp"), 2, 4)], 2, chunk=chunk).collect()}
     want = components(values, values)
     assert [got.get(v, v) for v in values] == want
 

@@ -1,15 +1,18 @@
-"""Links between 64-bit fingerprints by BK-trees over pigeonhole shards.
-
-Fingerprints within ``radius`` bits of each other agree on whole blocks.  With the 64 bits in
-``blocks`` blocks, at least ``blocks - radius`` of them agree, so every linked pair meets in a shard
-keyed by the choice and the values of that many blocks.  Only shards with two or more different
-fingerprints go on.  In each, a BK-tree is built (children keyed by their integer Hamming distance
-to the parent) and searched along the edges within the radius.
-
-Trees travel to the tasks that search them: a shard over ``chunk`` members is cut into chunks by
-hash, and each pair of chunks is a task unit of its own, one side tree and one side queries, so no
-task holds more than two chunks whatever the shard's size.  All trees together grow with the corpus,
-so they are never broadcast as a whole.
+"""Connected groups of 64-bit fingerprints by BK-trees over shards.
+
+A shard holds the nodes that share a key, by which every pair that should link meets: the values of
+whole blocks of bits (``families``; within ``radius`` bits, at least ``blocks - radius`` of ``blocks``
+blocks agree), or min-hashes.  Only shards with two or more groups go on.  In each, a BK-tree is built
+(children keyed by their integer Hamming distance to the parent) and searched along the edges within the
+radius; ``agree`` may confirm what the radius allows.
+
+A shard over ``chunk`` nodes is cut into chunks by hash, and its trees travel to the tasks that search
+them: all trees together grow with the corpus, so they are never broadcast as a whole.  First every
+chunk is searched by itself, with one node (the hub) added that all chunks of the shard share; a large
+group of copies is mostly one component after that.  Then the chunks are laid out anew, large
+components in chunks of their own, and pairs of chunks are searched, but for two of the same component.
+So no task holds more than two chunks whatever the shard's size, a shard with one large component costs
+as many units as it has chunks for each chunk of the rest, and no link between components is missed.
 
 Out come spanning links only (each unit keeps a union-find), never all pairs of a dense group.
 """
@@ -22,7 +25,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 2048
+from textweave.llm.common import connected_components, table
+
+CHUNK, CHUNK_BYTES = 512, 16 << 20
 
 
 def families(fp: Column, radius: int, blocks: int) -> Column:
@@ -35,27 +40,96 @@ def families(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
 
 
-def units(nodes: DataFrame, fp: str, radius: int, blocks: int, chunk: int = CHUNK, salt: str | None = None) -> DataFrame:
-    """nodes with (key, i, j, role) added, one row for each unit it takes part in.
+def _parts(n: Column, size: Column, chunk: int) -> Column:
+    """Chunks for n nodes with size bytes of bodies."""
+    return F.greatest(F.ceil(n / chunk), F.ceil(size / CHUNK_BYTES), F.lit(1)).cast("int")
 
-    role 1: side i (the tree), 2: side j (the queries), 3: both (i = j).
-    """
-    keyed = nodes.withColumn("key", F.explode(families(F.col(fp), radius, blocks)))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
-    out = keyed.join(sizes.select("key", "parts"), "key").withColumn("c", F.pmod(F.xxhash64(salt or fp, F.lit(7)), "parts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    out = out.select("*", other)
-    return out.select(*nodes.columns, "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") == F.col("o"), 3).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("role"))
 
+def _grouped(ids: DataFrame, known: DataFrame | None) -> DataFrame:
+    """ids with g, the component of the node as far as known."""
+    if known is None:
+        return ids.withColumn("g", F.col("node"))
+    return ids.join(known, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
 
-def by_unit(rows: DataFrame) -> DataFrame:
-    """Rows of a unit together and in order."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
 
+def _search(rows: DataFrame, nodes: DataFrame, radius: int, agree: Callable | None, body: str | None) -> DataFrame:
+    """Spanning links (a, b) of the units (key, c) of rows(key, c, role, g, node)."""
+
+    def search(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def runs(batches: Iterator, columns: int) -> Iterator[list[list]]:
-    """Column lists of each unit; the first three columns are key, i, j."""
+        a, b = [], []
+        for roles, groups, ids, fps, *more in runs(batches):
+            plain = [x & 0xFFFFFFFFFFFFFFFF for x in fps]
+            check = None if agree is None else (lambda s, t, own=more[0]: agree(own[s], own[t]))
+            for s, t in linked(plain, roles, radius, check, groups):
+                a.append(ids[s])
+                b.append(ids[t])
+            if len(a) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    columns = ["key", "c", "role", "g", "node", "fp", *([body] if body else [])]
+    whole = rows.join(nodes.select("node", *columns[5:]), "node").select(*columns)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "a long, b long").where("a <> b")
+
+
+def _chunk_pairs(ids: DataFrame, chunk: int) -> DataFrame:
+    """Units (key, c, role, g, node) that bring together all nodes of ids(key, node, w, g) of different components."""
+    per = ids.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("w").alias("w")).withColumn("p", _parts(F.col("n"), F.col("w"), chunk))
+    small = F.col("p") == 1
+    shards = per.groupBy("key").agg(
+        F.min("g").alias("lo"), F.max("g").alias("hi"),
+        F.sum(F.when(small, F.col("n"))).alias("n"), F.sum(F.when(small, F.col("w"))).alias("w"),
+        F.collect_list(F.when(~small, F.struct("g", "p"))).alias("large"),
+    )
+    shards = shards.where("lo < hi").select("key", "large", F.when(F.col("n") > 0, _parts(F.col("n"), F.col("w"), chunk)).otherwise(0).alias("bins"))
+    label = lambda large, of, part: F.struct(F.lit(large).alias("large"), of.cast("long").alias("of"), part.cast("int").alias("part"))
+    upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f))
+    spot = F.xxhash64("node", F.lit(13))
+    own = F.get(F.filter("large", lambda x: x["g"] == F.col("g")), F.lit(0))
+    mine = F.when(own.isNull(), label(0, F.lit(0), F.pmod(spot, F.col("bins")))).otherwise(label(1, F.col("g"), F.pmod(spot, own["p"])))
+    bins = upto(F.col("bins"), lambda k: label(0, F.lit(0), k))
+    large = F.flatten(F.transform(F.filter("large", lambda x: x["g"] != F.col("g")), lambda x: upto(x["p"], lambda k: label(1, x["g"], k))))
+    rows = ids.join(shards, "key").select("key", "node", "g", mine.alias("mine"), F.explode(F.concat(F.coalesce(bins, F.slice(large, 1, 0)), large)).alias("other"))
+    first, last = F.least("mine", "other"), F.greatest("mine", "other")
+    role = F.when(F.col("mine") == F.col("other"), 3).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return rows.select("key", F.xxhash64(first, last).alias("c"), role.alias("role"), "g", "node")
+
+
+def cluster(nodes: DataFrame, passes: list[Column], radius: int, agree: Callable | None = None, body: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(node, component) of those of nodes(node, fp) that link to others; component is a smallest node.
+
+    passes: columns with the array of shard keys; what an earlier pass has connected is not searched again.
+    agree: confirms a pair by their values of the column body; w then has the bytes of body.
+    """
+    links, known = None, None
+    for keys in passes:
+        plain = nodes.select("node", F.col("w").cast("long").alias("w") if body else F.lit(0).cast("long").alias("w"), F.explode(keys).alias("key"))
+        ids = _grouped(plain, known)
+        hub = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
+        sizes = ids.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("g").alias("lo"), F.max("g").alias("hi"), hub.alias("hub")).where("lo < hi")
+        sizes = table(sizes.select("key", "hub", _parts(F.col("n"), F.col("w"), chunk).alias("parts")), "shards")
+        members = ids.join(sizes, "key").select("key", "node", "g", F.pmod(F.xxhash64("node", F.lit(11)), "parts").alias("c"))
+        wide = sizes.where("parts > 1")
+        hubs = wide.select("key", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("c"))
+        rows = members.unionByName(_grouped(hubs, known).select("key", "node", "g", "c")).withColumn("role", F.lit(3))
+        found = table(_search(rows, nodes, radius, agree, body), "links")
+        links = found if links is None else links.union(found)
+        known = table(connected_components(links), "groups")
+        if not wide.isEmpty():
+            again = _chunk_pairs(_grouped(plain.join(wide.select("key"), "key"), known), chunk)
+            found = table(_search(again, nodes, radius, agree, body), "links")
+            if not found.isEmpty():
+                links = links.union(found)
+                known = table(connected_components(links), "groups")
+    return known
+
+
+def runs(batches: Iterator) -> Iterator[list[list]]:
+    """Column lists of each unit, without the first two columns, which name it."""
     import numpy as np
     import pyarrow as pa
 
@@ -64,17 +138,17 @@ def runs(batches: Iterator, columns: int) -> Iterator[list[list]]:
         t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
         if not t.num_rows:
             continue
-        ids = [t.column(k).to_numpy() for k in range(3)]
-        new = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (ids[2][1:] != ids[2][:-1])) + 1
+        ids = [t.column(k).to_numpy() for k in range(2)]
+        new = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1])) + 1
         if not len(new):
             held = t
             continue
-        whole = [t.column(k).slice(0, int(new[-1])).to_pylist() for k in range(3, columns)]
+        whole = [t.column(k).slice(0, int(new[-1])).to_pylist() for k in range(2, t.num_columns)]
         for s, e in zip([0, *new[:-1].tolist()], new.tolist()):
             yield [c[s:e] for c in whole]
         held = t.slice(int(new[-1]))
     if held is not None and held.num_rows:
-        yield [held.column(k).to_pylist() for k in range(3, columns)]
+        yield [held.column(k).to_pylist() for k in range(2, held.num_columns)]
 
 
 class BkTree:
@@ -127,10 +201,15 @@ class Sets:
         return a != b
 
 
-def linked(fps: list[int], roles: list[int], radius: int, agree: Callable[[int, int], bool] | None = None) -> Iterator[tuple[int, int]]:
-    """Spanning links (positions) of a unit; agree confirms a link that the radius allows."""
+def linked(fps: list[int], roles: list[int], radius: int, agree: Callable[[int, int], bool] | None = None, groups: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Spanning links (positions) of a unit; agree confirms a link that the radius allows.
+
+    roles: 1 in the tree, 2 a query, 3 both.  Positions with the same group are connected already.
+    """
     n = len(fps)
-    sets, tree, place = Sets(n), BkTree(), []
+    sets, tree, place, seen = Sets(n), BkTree(), [], {}
+    for k, g in enumerate(groups or ()):
+        sets.join(seen.setdefault(g, k), k)
     trees, queries = [k for k in range(n) if roles[k] & 1], [k for k in range(n) if roles[k] & 2]
     alone = trees != queries
     if alone:

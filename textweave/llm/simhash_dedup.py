@@ -1,5 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through BK-trees.
 
+``simhash_components`` links by fingerprints alone; ``simhash_dedup`` drops near copies, for which
+SimHash finds candidates and the sets of five-word shingles decide (Jaccard 0.8 or more).
+
 Words are runs of non-white-space (ASCII white space) after lower-casing A-Z; shingles of ``size``
 words are joined by single spaces and hashed with XXH64 (seed 42).  A fingerprint bit is set if it
 is set in over half of the hashes, repeats included.  Fewer words than ``size``: the whole sequence
@@ -20,11 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.common import connected_components, prepare, table
-from textweave.llm.hamming import by_unit, linked, runs, units
+from textweave.llm.common import prepare, table
+from textweave.llm.hamming import cluster, families
 
 BATCH = 1 << 21
 SMALL = 200_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fingerprints(texts: list[bytes], size: int) -> np.ndarray:
@@ -76,43 +80,143 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, f"doc_id {kind}, fp long")
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """Spanning links (a, b) between the different fingerprints of nodes(fp)."""
-
-    def search(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        a, b = [], []
-        for fps, roles in runs(batches, 5):
-            plain = [x & 0xFFFFFFFFFFFFFFFF for x in fps]
-            for s, t in linked(plain, roles, radius):
-                a.append(fps[s])
-                b.append(fps[t])
-            if len(a) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return by_unit(units(nodes, "fp", radius, blocks).select("key", "i", "j", "fp", "role")).mapInArrow(search, "a long, b long")
-
-
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     rows = table(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = table(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = connected_components(fingerprint_links(nodes.select("fp"), radius, blocks))
+    parts = cluster(nodes.select(F.col("fp").alias("node"), "fp"), [families(F.col("fp"), radius, blocks)], radius)
     named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(lowest, "component").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# -- near copies, verified ---------------------------------------------------------------------------
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word shingles."""
+    from textweave.llm.words import join_texts, mix, span_hashes, spans
+
+    raw, at = join_texts([t.lower() for t in texts])
+    starts, ends = spans(~((raw == 32) | ((raw >= 9) & (raw <= 13))))
+    w = span_hashes(raw, starts, ends)
+    first = np.searchsorted(starts, at)
+    words = np.diff(first)
+    n = np.where(words >= size, words - size + 1, np.minimum(words, 1))
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    begin = np.repeat(first[:-1], n) + np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], n)
+    length = np.repeat(np.minimum(words, size), n)
+    h = length.astype(np.uint64)
+    for j in range(size):
+        h = np.where(j < length, mix(h * _STEP + w[np.minimum(begin + j, len(w) - 1)]), h) if len(w) else h
+    return [np.unique(h[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about BATCH bytes; a longer text stands alone."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= BATCH):
+            n += len(texts[j])
+            j += 1
+        yield texts[i:j]
+        i = j
+
+
+def _set_name(s: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
+
+
+def set_features(rows: DataFrame, size: int, n_keys: int) -> DataFrame:
+    """(row, id, node, n, fp, keys) of rows(row, id, text): the set's name, its size, its SimHash, its min-hashes."""
+
+    def make(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from textweave.llm.words import bit_counts, majority, mix
+
+        seeds = mix(np.arange(1, n_keys + 1, dtype=np.uint64) * _STEP)
+        for batch in batches:
+            names, n, fps, keys = [], [], [], []
+            for part in _slices([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]):
+                sets = shingle_sets(part, size)
+                lens = np.array([len(s) for s in sets], dtype=np.int64)
+                offsets = np.concatenate([[0], np.cumsum(lens)])
+                flat = np.concatenate(sets)
+                fps.append(majority(bit_counts(flat, offsets), lens))
+                low = np.zeros((len(sets), n_keys), dtype=np.int64)
+                some = np.flatnonzero(lens)
+                if some.size:
+                    for k, seed in enumerate(seeds):
+                        low[some, k] = mix(np.minimum.reduceat(mix(flat ^ seed), offsets[:-1][some]) + seed).view(np.int64)
+                names += [_set_name(s) for s in sets]
+                n += lens.tolist()
+                keys += [x.tolist() if m else [] for x, m in zip(low, lens)]
+            fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "node", "n", "fp", "keys"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(make, f"row long, id {kind}, node long, n long, fp long, keys array<long>")
+
+
+def set_bodies(rows: DataFrame, size: int) -> DataFrame:
+    """(node, body) of rows(text): the set's name and its hashes."""
+
+    def make(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _slices([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]):
+                sets = shingle_sets(part, size)
+                yield pa.RecordBatch.from_arrays([pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "body"])
+
+    return rows.select("text").mapInArrow(make, "node long, body binary")
+
+
+def jaccard_at_least(a: bytes, b: bytes, similarity: float) -> bool:
+    n, m = len(a) // 8, len(b) // 8
+    if min(n, m) < similarity * max(n, m):
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return both >= similarity * (n + m - both)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df of one number a row for a join: broadcast up to SMALL rows, else by shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 26, n_keys: int = 8) -> DataFrame:
+    """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles.
+
+    Texts with the same set of shingles are one node.  Nodes meet in shards keyed by min-hashes (a pair at
+    the similarity misses all of n_keys shards with probability (1 - similarity) ** n_keys), are found there
+    by SimHash within a radius that allows five standard deviations, and are verified on their whole sets.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    seen = table(set_features(rows, size, n_keys), "shingled")
+    nodes = table(seen.groupBy("node").agg(F.min("row").alias("row"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.select("node", "row", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    wanted = table(keyed.join(shared, "key", "left_semi").select("node", "row").distinct(), "wanted")
+    bodies = set_bodies(rows.join(_small(wanted.select("row")), "row", "left_semi"), size).groupBy("node").agg(F.first("body").alias("body"))
+    found = table(nodes.join(bodies, "node").select("node", "fp", "keys", (8 * F.col("n")).alias("w"), "body"), "sets")
+    few = min(2, n_keys)
+    passes = [F.slice("keys", 1, few), *([F.slice("keys", few + 1, n_keys - few)] if n_keys > few else [])]
+    parts = cluster(found, passes, radius, lambda a, b: jaccard_at_least(a, b, similarity), "body")
+    named = nodes.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return seen.select("id", "node").join(named.join(lowest, "component").select("node", "component_id"), "node").select("id", "component_id")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but one row of each component: the row with the component's smallest id.
+    """docs without all but one row of each group of near copies: the row with the group's smallest id.
 
     Rows with a null id are kept.  Of repeated rows with that id, all are kept.
     """
-    parts = simhash_components(docs, id_col, text_col, **how)
-    gone = table(parts.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= SMALL else gone  # beyond that, by shuffle
-    return docs.join(side, docs[id_col] == side["gone_id"], "left_anti")
+    parts = near_components(docs, id_col, text_col, **how)
+    gone = table(parts.where("id is not null and id <> component_id").select(F.col("id").alias("__tw_gone")).distinct(), "gone")
+    return docs.join(_small(gone), docs[id_col] == F.col("__tw_gone"), "left_anti")
