@@ -3,11 +3,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from textweave.llm import hamming
 from textweave.llm.common import connected_components
-from textweave.llm.hamming import BkTree, Sets, cluster, families
+from textweave.llm.hamming import BkTree, Sets, cluster, neighbours
 from textweave.llm.simhash_dedup import near_components, simhash_components, simhash_dedup
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -77,7 +76,7 @@ def near_groups(rows, similarity=0.8):
 def test_near_copies(spark, monkeypatch, chunk):
     """Edits, reorderings and one large group; small chunks cut the shards into many units."""
     monkeypatch.setattr(hamming, "CHUNK", chunk)
-    monkeypatch.setattr(hamming.cluster, "__defaults__", (None, None, chunk))
+    monkeypatch.setattr(hamming.cluster, "__defaults__", (None, None, chunk, None))
     draw = random.Random(8)
     words = [f"w{k}" for k in range(300)] + ["Ünï", "É"]
     base = [[draw.choice(words) for _ in range(draw.choice([30, 80, 300]))] for _ in range(10)]
@@ -116,7 +115,9 @@ def test_links_with_small_chunks(spark, chunk):
     rng = np.random.default_rng(2)
     values = sorted({(7 << 40) ^ sum(1 << int(b) for b in rng.choice(20, 3, replace=False)) for _ in range(60)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
     nodes = spark.createDataFrame([(v, v) for v in values], "node long, fp long")
-    got = {r.node: r.component for r in cluster(nodes, [families(F.col("fp"), 2, 4)], 2, chunk=chunk).collect()}
+    got = {r.node: r.component for r in cluster(nodes, None, 2, chunk=chunk, blocks=4).collect()}
+    near = {v for v in values if any(v != x and (v ^ x).bit_count() <= 2 for x in values)}
+    assert {r.node for r in neighbours(nodes, 2, 4, chunk).collect()} == near
     want = components(values, values)
     assert [got.get(v, v) for v in values] == want
 

@@ -21,23 +21,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.common import connected_components, table
 
-CHUNK, CHUNK_BYTES = 512, 16 << 20
+CHUNK, CHUNK_BYTES, FEW = 512, 16 << 20, 200_000
+UNIT = ["key", "c", "role", "f", "g", "node", "fp"]
 
 
-def families(fp: Column, radius: int, blocks: int) -> Column:
-    """Array of shard keys of a fingerprint."""
+def masks(radius: int, blocks: int) -> list[int]:
+    """The bits of every choice of blocks - radius blocks; choices without a common block come first."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)])
+    own = blocks - radius
+    order = sorted(combinations(range(blocks), own), key=lambda c: (c[0] % own > 0 or c[-1] - c[0] >= own, c))
+    return [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen) for chosen in order]
+
+
+def families(fp: Column, radius: int, blocks: int) -> Column:
+    """Array of shard keys of a fingerprint, one for each of ``masks``."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, blocks)]
+    return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])
 
 
 def _parts(n: Column, size: Column, chunk: int) -> Column:
@@ -52,16 +58,27 @@ def _grouped(ids: DataFrame, known: DataFrame | None) -> DataFrame:
     return ids.join(known, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
 
 
-def _search(rows: DataFrame, nodes: DataFrame, radius: int, agree: Callable | None, body: str | None) -> DataFrame:
-    """Spanning links (a, b) of the units (key, c) of rows(key, c, role, g, node)."""
+def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int | None) -> DataFrame:
+    """Spanning links (a, b) of the units (key, c) of rows(key, c, role, f, g, node, fp, [body]).
+
+    blocks: keys are ``families``; a pair is then looked at in the first family it shares alone.
+    """
+    known = masks(radius, blocks) if blocks else []
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         a, b = [], []
-        for roles, groups, ids, fps, *more in runs(batches):
-            plain = [x & 0xFFFFFFFFFFFFFFFF for x in fps]
-            check = None if agree is None else (lambda s, t, own=more[0]: agree(own[s], own[t]))
+        for roles, family, groups, ids, fps, *more in runs(batches):
+            plain, earlier = [x & 0xFFFFFFFFFFFFFFFF for x in fps], known[: family[0]]
+
+            def check(s: int, t: int) -> bool:
+                x = plain[s] ^ plain[t]
+                for m in earlier:
+                    if not x & m:
+                        return False
+                return agree is None or agree(more[0][s], more[0][t])
+
             for s, t in linked(plain, roles, radius, check, groups):
                 a.append(ids[s])
                 b.append(ids[t])
@@ -70,14 +87,12 @@ def _search(rows: DataFrame, nodes: DataFrame, radius: int, agree: Callable | No
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    columns = ["key", "c", "role", "g", "node", "fp", *([body] if body else [])]
-    whole = rows.join(nodes.select("node", *columns[5:]), "node").select(*columns)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return whole.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "a long, b long").where("a <> b")
+    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "a long, b long").where("a <> b")
 
 
 def _chunk_pairs(ids: DataFrame, chunk: int) -> DataFrame:
-    """Units (key, c, role, g, node) that bring together all nodes of ids(key, node, w, g) of different components."""
+    """Units (key, c, role, f, g, node, fp) that bring together all nodes of ids(key, f, node, fp, w, g) of different components."""
     per = ids.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("w").alias("w")).withColumn("p", _parts(F.col("n"), F.col("w"), chunk))
     small = F.col("p") == 1
     shards = per.groupBy("key").agg(
@@ -93,43 +108,119 @@ def _chunk_pairs(ids: DataFrame, chunk: int) -> DataFrame:
     mine = F.when(own.isNull(), label(0, F.lit(0), F.pmod(spot, F.col("bins")))).otherwise(label(1, F.col("g"), F.pmod(spot, own["p"])))
     bins = upto(F.col("bins"), lambda k: label(0, F.lit(0), k))
     large = F.flatten(F.transform(F.filter("large", lambda x: x["g"] != F.col("g")), lambda x: upto(x["p"], lambda k: label(1, x["g"], k))))
-    rows = ids.join(shards, "key").select("key", "node", "g", mine.alias("mine"), F.explode(F.concat(F.coalesce(bins, F.slice(large, 1, 0)), large)).alias("other"))
+    rows = ids.join(shards, "key").select("key", "f", "node", "fp", "g", mine.alias("mine"), F.explode(F.concat(F.coalesce(bins, F.slice(large, 1, 0)), large)).alias("other"))
     first, last = F.least("mine", "other"), F.greatest("mine", "other")
     role = F.when(F.col("mine") == F.col("other"), 3).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return rows.select("key", F.xxhash64(first, last).alias("c"), role.alias("role"), "g", "node")
+    return rows.select("key", F.xxhash64(first, last).alias("c"), role.alias("role"), *UNIT[3:])
+
+
+def _keyed(nodes: DataFrame, keys: Column, body: str | None, first: int = 0) -> DataFrame:
+    """(key, f, node, fp, w): a row for each shard a node is in; f counts its keys from first."""
+    out = nodes.select("node", "fp", F.col("w").cast("long").alias("w") if body else F.lit(0).cast("long").alias("w"), F.posexplode(keys).alias("f", "key"))
+    return out.withColumn("f", F.col("f") + first)
+
+
+def _few(shards: DataFrame) -> DataFrame:
+    """Shards for a join: broadcast up to FEW rows of two numbers, beyond that by shuffle."""
+    return F.broadcast(shards) if shards.count() <= FEW else shards
+
+
+def _shards(ids: DataFrame, grouped: bool, body: str | None, chunk: int) -> DataFrame:
+    """(key, parts) of the shards with two nodes, or components, at least."""
+    size = F.sum("w") if body else F.lit(0)
+    if grouped:
+        sizes = ids.groupBy("key").agg(F.count("*").alias("n"), size.alias("w"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
+    else:
+        sizes = ids.groupBy("key").agg(F.count("*").alias("n"), size.alias("w")).where("n > 1")
+    return table(sizes.select("key", _parts(F.col("n"), F.col("w"), chunk).alias("parts")), "shards")
+
+
+def _chunks(ids: DataFrame, sizes: DataFrame, wide: DataFrame | None) -> DataFrame:
+    """Units of one chunk each, of ids(key, f, node, fp, w, g); a wide shard's hub is in all of its chunks."""
+    members = ids.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("node", F.lit(11)), "parts"))
+    if wide is not None:
+        hubs = ids.join(_few(wide), "key").groupBy("key").agg(F.first("parts").cast("long").alias("parts"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "f", "g", "node", "fp")).alias("hub"))
+        hubs = hubs.select("key", "hub.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("c"))
+        members = members.select("key", *UNIT[3:], "c").unionByName(hubs.select("key", *UNIT[3:], "c"))
+    return members.withColumn("role", F.lit(3)).select(*UNIT)
+
+
+def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
+    """(node) of those that have another within the radius in their unit; units as for ``_search``."""
+    import numpy as np
+
+    small = 16
+
+    def search(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for t, edges in whole_units(batches):
+            roles, nodes, fps = (t.column(k).to_numpy() for k in (2, 5, 6))
+            words, size = fps.view(np.uint64), np.diff(edges)
+            hit = np.zeros(len(nodes), dtype=bool)
+            unit = np.repeat(np.arange(len(size)), size)
+            unit = np.where(size[unit] <= small, unit, -1 - np.arange(len(unit)))  # large units match nothing here
+            for lag in range(1, min(small, int(size.max()))):
+                near = np.flatnonzero((unit[lag:] == unit[:-lag]) & (np.bitwise_count(words[lag:] ^ words[:-lag]) <= radius) & (nodes[lag:] != nodes[:-lag]))
+                hit[near] = hit[near + lag] = True
+            for k in np.flatnonzero(size > small):
+                s, e = int(edges[k]), int(edges[k + 1])
+                for a, b in linked(words[s:e].tolist(), roles[s:e].tolist(), radius, None, t.column(4)[s:e].to_pylist()):
+                    hit[s + a] = hit[s + b] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(nodes[hit]))], ["node"])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "node long").distinct()
 
 
-def cluster(nodes: DataFrame, passes: list[Column], radius: int, agree: Callable | None = None, body: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def neighbours(nodes: DataFrame, radius: int, blocks: int, chunk: int = CHUNK) -> DataFrame:
+    """(node) of those of nodes(node, fp) that have another within the radius."""
+    ids = _keyed(nodes, families(F.col("fp"), radius, blocks), None).withColumn("g", F.col("node"))
+    sizes = _shards(ids, False, None, chunk)
+    wide = sizes.where("parts > 1")
+    wide = None if wide.isEmpty() else wide
+    found = table(_near_nodes(_chunks(ids, sizes, wide), radius), "neighbours")
+    if wide is None:
+        return found
+    # Nodes found are as one component now: none of them needs another neighbour.
+    left = ids.drop("g").join(_few(wide.select("key")), "key").join(found.withColumn("known", F.lit(0).cast("long")), "node", "left").withColumn("g", F.coalesce("known", "node")).drop("known")
+    return found.union(_near_nodes(_chunk_pairs(left, chunk), radius)).distinct()
+
+
+def cluster(nodes: DataFrame, passes: list[Column] | None, radius: int, agree: Callable | None = None, body: str | None = None, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
     """(node, component) of those of nodes(node, fp) that link to others; component is a smallest node.
 
     passes: columns with the array of shard keys; what an earlier pass has connected is not searched again.
+    blocks: the passes are ``families``, those without a common block first.
     agree: confirms a pair by their values of the column body; w then has the bytes of body.
     """
     links, known = None, None
-    for keys in passes:
-        plain = nodes.select("node", F.col("w").cast("long").alias("w") if body else F.lit(0).cast("long").alias("w"), F.explode(keys).alias("key"))
+    full = lambda rows: rows.join(nodes.select("node", body), "node").select(*UNIT, body) if body else rows
+    if blocks:
+        keys, n, few = families(F.col("fp"), radius, blocks), comb(blocks, radius), blocks // (blocks - radius)
+        passes = [F.slice(keys, 1, few), F.slice(keys, few + 1, n - few)]
+    for k, keys in enumerate(passes):
+        plain = _keyed(nodes, keys, body, few if blocks and k else 0)
         ids = _grouped(plain, known)
-        hub = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"]
-        sizes = ids.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("g").alias("lo"), F.max("g").alias("hi"), hub.alias("hub")).where("lo < hi")
-        sizes = table(sizes.select("key", "hub", _parts(F.col("n"), F.col("w"), chunk).alias("parts")), "shards")
-        members = ids.join(sizes, "key").select("key", "node", "g", F.pmod(F.xxhash64("node", F.lit(11)), "parts").alias("c"))
+        sizes = _shards(ids, known is not None, body, chunk)
         wide = sizes.where("parts > 1")
-        hubs = wide.select("key", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("c"))
-        rows = members.unionByName(_grouped(hubs, known).select("key", "node", "g", "c")).withColumn("role", F.lit(3))
-        found = table(_search(rows, nodes, radius, agree, body), "links")
-        links = found if links is None else links.union(found)
-        known = table(connected_components(links), "groups")
-        if not wide.isEmpty():
-            again = _chunk_pairs(_grouped(plain.join(wide.select("key"), "key"), known), chunk)
-            found = table(_search(again, nodes, radius, agree, body), "links")
+        wide = None if wide.isEmpty() else wide
+        found = table(_search(full(_chunks(ids, sizes, wide)), radius, agree, blocks), "links")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            known = table(connected_components(links), "groups")
+        if wide is not None:
+            again = _chunk_pairs(_grouped(plain.join(_few(wide.select("key")), "key"), known), chunk)
+            found = table(_search(full(again), radius, agree, blocks), "links")
             if not found.isEmpty():
                 links = links.union(found)
                 known = table(connected_components(links), "groups")
     return known
 
 
-def runs(batches: Iterator) -> Iterator[list[list]]:
-    """Column lists of each unit, without the first two columns, which name it."""
+def whole_units(batches: Iterator) -> Iterator[tuple]:
+    """Arrow tables of whole units and the edges of the units in them; the first two columns name a unit."""
     import numpy as np
     import pyarrow as pa
 
@@ -138,17 +229,24 @@ def runs(batches: Iterator) -> Iterator[list[list]]:
         t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
         if not t.num_rows:
             continue
-        ids = [t.column(k).to_numpy() for k in range(2)]
-        new = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1])) + 1
+        key, c = (t.column(k).to_numpy() for k in range(2))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (c[1:] != c[:-1])) + 1
         if not len(new):
             held = t
             continue
-        whole = [t.column(k).slice(0, int(new[-1])).to_pylist() for k in range(2, t.num_columns)]
-        for s, e in zip([0, *new[:-1].tolist()], new.tolist()):
-            yield [c[s:e] for c in whole]
-        held = t.slice(int(new[-1]))
+        last = int(new[-1])
+        yield t.slice(0, last), np.concatenate([[0], new])
+        held = t.slice(last)
     if held is not None and held.num_rows:
-        yield [held.column(k).to_pylist() for k in range(2, held.num_columns)]
+        yield held, np.array([0, held.num_rows])
+
+
+def runs(batches: Iterator) -> Iterator[list[list]]:
+    """Column lists of each unit, without the first two columns."""
+    for t, edges in whole_units(batches):
+        whole = [t.column(k).to_pylist() for k in range(2, t.num_columns)]
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield [c[s:e] for c in whole]
 
 
 class BkTree:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.common import prepare, table
-from textweave.llm.hamming import cluster, families
+from textweave.llm.hamming import cluster
 
 BATCH = 1 << 21
 SMALL = 200_000
@@ -84,7 +84,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint, component_id) of every row."""
     rows = table(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = table(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    parts = cluster(nodes.select(F.col("fp").alias("node"), "fp"), [families(F.col("fp"), radius, blocks)], radius)
+    parts = cluster(nodes.select(F.col("fp").alias("node"), "fp"), None, radius, blocks=blocks)
     named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = named.join(lowest, "component").select("fp", "component_id")
