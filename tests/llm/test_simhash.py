@@ -72,7 +72,7 @@ def near_groups(rows, similarity=0.8):
     return [low.get(sets.find(k)) for k in range(len(rows))]
 
 
-@pytest.mark.parametrize("chunk", [8, 512])
+@pytest.mark.parametrize("chunk", [8, 2048])
 def test_near_copies(spark, monkeypatch, chunk):
     """Edits, reorderings and one large group; small chunks cut the shards into many units."""
     monkeypatch.setattr(hamming, "CHUNK", chunk)

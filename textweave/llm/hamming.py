@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from textweave.llm.common import connected_components, table
 
-CHUNK, CHUNK_BYTES, FEW = 512, 16 << 20, 200_000
+CHUNK, CHUNK_BYTES, FEW = 2_048, 16 << 20, 200_000
 UNIT = ["key", "c", "role", "f", "g", "node", "fp"]
 
 
@@ -135,11 +135,17 @@ def _shards(ids: DataFrame, grouped: bool, body: str | None, chunk: int) -> Data
     return table(sizes.select("key", _parts(F.col("n"), F.col("w"), chunk).alias("parts")), "shards")
 
 
+def _wide(ids: DataFrame, sizes: DataFrame) -> DataFrame | None:
+    """Rows of ids in shards of several chunks, with parts, written once; None if there are none."""
+    wide = sizes.where("parts > 1")
+    return None if wide.isEmpty() else table(ids.join(_few(wide), "key"), "wide")
+
+
 def _chunks(ids: DataFrame, sizes: DataFrame, wide: DataFrame | None) -> DataFrame:
     """Units of one chunk each, of ids(key, f, node, fp, w, g); a wide shard's hub is in all of its chunks."""
     members = ids.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("node", F.lit(11)), "parts"))
     if wide is not None:
-        hubs = ids.join(_few(wide), "key").groupBy("key").agg(F.first("parts").cast("long").alias("parts"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "f", "g", "node", "fp")).alias("hub"))
+        hubs = wide.groupBy("key").agg(F.first("parts").cast("long").alias("parts"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "f", "g", "node", "fp")).alias("hub"))
         hubs = hubs.select("key", "hub.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("c"))
         members = members.select("key", *UNIT[3:], "c").unionByName(hubs.select("key", *UNIT[3:], "c"))
     return members.withColumn("role", F.lit(3)).select(*UNIT)
@@ -178,13 +184,12 @@ def neighbours(nodes: DataFrame, radius: int, blocks: int, chunk: int = CHUNK) -
     """(node) of those of nodes(node, fp) that have another within the radius."""
     ids = _keyed(nodes, families(F.col("fp"), radius, blocks), None).withColumn("g", F.col("node"))
     sizes = _shards(ids, False, None, chunk)
-    wide = sizes.where("parts > 1")
-    wide = None if wide.isEmpty() else wide
+    wide = _wide(ids, sizes)
     found = table(_near_nodes(_chunks(ids, sizes, wide), radius), "neighbours")
     if wide is None:
         return found
     # Nodes found are as one component now: none of them needs another neighbour.
-    left = ids.drop("g").join(_few(wide.select("key")), "key").join(found.withColumn("known", F.lit(0).cast("long")), "node", "left").withColumn("g", F.coalesce("known", "node")).drop("known")
+    left = wide.drop("g", "parts").join(found.withColumn("known", F.lit(0).cast("long")), "node", "left").withColumn("g", F.coalesce("known", "node")).drop("known")
     return found.union(_near_nodes(_chunk_pairs(left, chunk), radius)).distinct()
 
 
@@ -204,14 +209,13 @@ def cluster(nodes: DataFrame, passes: list[Column] | None, radius: int, agree: C
         plain = _keyed(nodes, keys, body, few if blocks and k else 0)
         ids = _grouped(plain, known)
         sizes = _shards(ids, known is not None, body, chunk)
-        wide = sizes.where("parts > 1")
-        wide = None if wide.isEmpty() else wide
+        wide = _wide(ids, sizes)
         found = table(_search(full(_chunks(ids, sizes, wide)), radius, agree, blocks), "links")
         if links is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             known = table(connected_components(links), "groups")
         if wide is not None:
-            again = _chunk_pairs(_grouped(plain.join(_few(wide.select("key")), "key"), known), chunk)
+            again = _chunk_pairs(_grouped(wide.drop("g", "parts"), known), chunk)
             found = table(_search(full(again), radius, agree, blocks), "links")
             if not found.isEmpty():
                 links = links.union(found)
