@@ -14,6 +14,8 @@ components in chunks of their own, and pairs of chunks are searched, but for two
 So no task holds more than two chunks whatever the shard's size, a shard with one large component costs
 as many units as it has chunks for each chunk of the rest, and no link between components is missed.
 
+A fingerprint is a long, or bytes where 64 bits are too few to tell pairs apart (a multiple of 8).
+
 Out come spanning links only (each unit keeps a union-find), never all pairs of a dense group.
 """
 
@@ -70,7 +72,7 @@ def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int |
 
         a, b = [], []
         for roles, family, groups, ids, fps, *more in runs(batches):
-            plain, earlier = [x & 0xFFFFFFFFFFFFFFFF for x in fps], known[: family[0]]
+            plain, earlier = [int.from_bytes(x, "little") if isinstance(x, bytes) else x & 0xFFFFFFFFFFFFFFFF for x in fps], known[: family[0]]
 
             def check(s: int, t: int) -> bool:
                 x = plain[s] ^ plain[t]
@@ -161,17 +163,26 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
         import pyarrow as pa
 
         for t, edges in whole_units(batches):
-            roles, nodes, fps = (t.column(k).to_numpy() for k in (2, 5, 6))
-            words, size = fps.view(np.uint64), np.diff(edges)
+            roles, nodes = (t.column(k).to_numpy() for k in (2, 5))
+            wide = pa.types.is_binary(t.schema.field(6).type)
+            words = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(nodes), -1) if wide else t.column(6).to_numpy().view(np.uint64)[:, None]
+            size = np.diff(edges)
             hit = np.zeros(len(nodes), dtype=bool)
             unit = np.repeat(np.arange(len(size)), size)
             unit = np.where(size[unit] <= small, unit, -1 - np.arange(len(unit)))  # large units match nothing here
             for lag in range(1, min(small, int(size.max()))):
-                near = np.flatnonzero((unit[lag:] == unit[:-lag]) & (np.bitwise_count(words[lag:] ^ words[:-lag]) <= radius) & (nodes[lag:] != nodes[:-lag]))
+                at = np.flatnonzero((unit[lag:] == unit[:-lag]) & (nodes[lag:] != nodes[:-lag]))
+                near = at[np.bitwise_count(words[at + lag] ^ words[at]).sum(1) <= radius]
                 hit[near] = hit[near + lag] = True
             for k in np.flatnonzero(size > small):
                 s, e = int(edges[k]), int(edges[k + 1])
-                for a, b in linked(words[s:e].tolist(), roles[s:e].tolist(), radius, None, t.column(4)[s:e].to_pylist()):
+                if wide:
+                    for i in range(s, e - 1):
+                        at = i + 1 + np.flatnonzero((np.bitwise_count(words[i + 1 : e] ^ words[i]).sum(1) <= radius) & (nodes[i + 1 : e] != nodes[i]))
+                        hit[at] = True
+                        hit[i] |= len(at) > 0
+                    continue
+                for a, b in linked(words[s:e, 0].tolist(), roles[s:e].tolist(), radius, None, t.column(4)[s:e].to_pylist()):
                     hit[s + a] = hit[s + b] = True
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(nodes[hit]))], ["node"])
@@ -180,9 +191,9 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "node long").distinct()
 
 
-def neighbours(nodes: DataFrame, radius: int, blocks: int, chunk: int = CHUNK) -> DataFrame:
-    """(node) of those of nodes(node, fp) that have another within the radius."""
-    ids = _keyed(nodes, families(F.col("fp"), radius, blocks), None).withColumn("g", F.col("node"))
+def neighbours(nodes: DataFrame, radius: int, blocks: int | None, chunk: int = CHUNK, keys: Column | None = None) -> DataFrame:
+    """(node) of those of nodes(node, fp) that have another within the radius, in families or in shards by keys."""
+    ids = _keyed(nodes, families(F.col("fp"), radius, blocks) if keys is None else keys, None).withColumn("g", F.col("node"))
     sizes = _shards(ids, False, None, chunk)
     wide = _wide(ids, sizes)
     found = table(_near_nodes(_chunks(ids, sizes, wide), radius), "neighbours")

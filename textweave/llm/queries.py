@@ -51,7 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(_docs(spark, sf_dir), lines_col="_lines", gone_col="_dropped")
+    out = line_dedup.line_dedup(_docs(spark, sf_dir), lines_col="_lines", gone_col="_dropped", bands=line_dedup.BANDS)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
