@@ -37,3 +37,9 @@ def test_scan(spark):
     assert labels[502] == [("all-rights-reserved", 1.0)] * 2 and labels[503][0][0] == "cc-by-sa" and labels[507] == [("", 0.0)]
     assert sorted(labels[None]) == [("apache", 1.0), ("mit", 1.0)] and labels[504] == labels[505] == [("", 0.0)]
     assert ls.license_scan(docs.where("false")).count() == 0
+
+
+def test_notice_repeated_back_to_back(spark):
+    rows = [(n, "All rights reserved\n" * n + "end") for n in (1, 2, 3, 7)]
+    got = ls.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {n: ("all-rights-reserved", 1.0) for n, _ in rows}

@@ -4,7 +4,7 @@ Words are runs of ``[0-9a-z]`` and all non-ASCII characters after lower-casing A
 hashes of all word k-grams of all texts are joined to the positions of the same k-grams in a fixed
 set of template texts (a broadcast of a few thousand rows, its size set by the templates alone).
 Each hit votes for the diagonal (document position - template position); votes are added up, diagonals
-up to ``drift`` apart are merged, and the merged spans are verified: a second, independent hash of each
+up to ``drift`` apart are merged, and the merged spans (or, where these fail, each diagonal alone) are verified: a second, independent hash of each
 k-gram must agree, and the matched words must cover ``cover`` of the template and ``dense`` of the span.
 
 The base scan counts the places where a phrase's words stand consecutively.
@@ -177,10 +177,13 @@ def spans_found(docs: DataFrame, k: int = K, drift: int = 3, cover: float = 0.8,
     before = Window.partitionBy("row", "template").orderBy("diagonal")
     group = F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(before) <= drift, 0).otherwise(1)).over(before)
     merged = votes.withColumn("g", group).select("row", "template", "label", "size", "g", "diagonal", F.explode("at").alias("t"))
-    word = merged.select("row", "template", "label", "size", "g", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o"), "t", "diagonal").select("row", "template", "label", "size", "g", (F.col("t") + F.col("o")).alias("tw"), (F.col("t") + F.col("o") + F.col("diagonal")).alias("dw"))
-    spans = word.groupBy("row", "template", "label", "size", "g").agg(F.count_distinct("tw").alias("matched"), F.min("dw").alias("first"), F.max("dw").alias("last"))
+    word = merged.select("row", "template", "label", "size", "g", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o"), "t", "diagonal").select("row", "template", "label", "size", "g", "diagonal", (F.col("t") + F.col("o")).alias("tw"), (F.col("t") + F.col("o") + F.col("diagonal")).alias("dw"))
+    tried = word.withColumn("d", F.explode(F.array(F.lit(None).cast("long"), "diagonal")))  # merged, and each diagonal alone
+    spans = tried.groupBy("row", "template", "label", "size", "g", "d").agg(F.count_distinct("tw").alias("matched"), F.min("dw").alias("first"), F.max("dw").alias("last"))
     good = spans.withColumn("similarity", F.least(F.lit(1.0), F.col("matched") / F.col("size")) * F.least(F.lit(1.0), F.col("matched") / (F.col("last") - F.col("first") + 1)))
-    return good.where((F.col("matched") >= cover * F.col("size")) & (F.col("matched") >= dense * (F.col("last") - F.col("first") + 1)))
+    good = good.where((F.col("matched") >= cover * F.col("size")) & (F.col("matched") >= dense * (F.col("last") - F.col("first") + 1)))
+    whole = F.max(F.col("d").isNull()).over(Window.partitionBy("row", "template", "g"))
+    return good.withColumn("whole", whole).where("d is null or not whole").drop("d", "whole")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
