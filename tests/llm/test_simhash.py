@@ -131,3 +131,11 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: sets.find(x) for a, b in pairs if a != b for x in (a, b)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated ids with different texts, full repeats and null ids."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, "alone"), (4, "alone"), (None, a), (None, "null id")]
+    got = simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (2, b), (4, "alone"), (0, "null id")])

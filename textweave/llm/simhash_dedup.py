@@ -195,6 +195,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the similarity misses all of n_keys shards with probability (1 - similarity) ** n_keys), are found there
     by SimHash within a radius that allows five standard deviations, and are verified on their whole sets.
     """
+    seen, named = _near_rows(docs, id_col, text_col, size, similarity, radius, n_keys)
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return seen.select("id", "node").join(named.join(lowest, "component").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def _near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 26, n_keys: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(row, id, node, ..) of every row, and (node, low, component) of every node, as for ``near_components``."""
     prepare(docs.sparkSession)
     rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = table(set_features(rows, size, n_keys), "shingled")
@@ -207,16 +214,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = min(2, n_keys)
     passes = [F.slice("keys", 1, few), *([F.slice("keys", few + 1, n_keys - few)] if n_keys > few else [])]
     parts = cluster(found, passes, radius, lambda a, b: jaccard_at_least(a, b, similarity), "body")
-    named = nodes.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return seen.select("id", "node").join(named.join(lowest, "component").select("node", "component_id"), "node").select("id", "component_id")
+    return seen, nodes.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but one row of each group of near copies: the row with the group's smallest id.
+    """docs with one row of each group of near copies: of its smallest id (null ids last), then smallest row key.
 
-    Rows with a null id are kept.  Of repeated rows with that id, all are kept.
+    Of rows that repeat in full (id and text), one stays.
     """
-    parts = near_components(docs, id_col, text_col, **how)
-    gone = table(parts.where("id is not null and id <> component_id").select(F.col("id").alias("__tw_gone")).distinct(), "gone")
-    return docs.join(_small(gone), docs[id_col] == F.col("__tw_gone"), "left_anti")
+    seen, named = _near_rows(docs, id_col, text_col, **how)
+    rows = table(seen.join(named.select("node", "component"), "node").groupBy("row").agg(F.first("component").alias("component"), F.first("id").alias("id"), F.count("*").alias("n")), "near-rows")
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    stays = rows.groupBy("component").agg(F.min(at).alias("stays"), F.count("*").alias("k")).where("k > 1").select("component", F.col("stays.row").alias("stays"))
+    gone = table(rows.join(stays, "component").where("row <> stays").select(F.col("row").alias("__tw_gone")), "gone")
+    often = table(rows.where("n > 1").select(F.col("row").alias("__tw_often")), "often")
+    keyed = docs.withColumn("__tw_row", F.xxhash64(id_col, text_col))
+    left = keyed.join(_small(gone), F.col("__tw_row") == F.col("__tw_gone"), "left_anti")
+    if often.isEmpty():
+        return left.drop("__tw_row")
+    same = F.col("__tw_row") == F.col("__tw_often")
+    once = left.join(_small(often), same, "left_semi").dropDuplicates(["__tw_row"])
+    return left.join(_small(often), same, "left_anti").unionByName(once).drop("__tw_row")
