@@ -60,6 +60,62 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the JVM-side bitmap of maybe_in (2 ** 20 rows of 64 bits are broadcast at most), and of a packed one.
+MAYBE_BITS, PACKED_BITS = 26, 29
+
+
+def maybe_in(df: DataFrame, key: Column, hits: DataFrame, hit_key: Column) -> DataFrame:
+    """df with __tw_maybe, true wherever the long key is among hit_key of hits, and for few other rows.
+
+    A bitmap of 2 ** MAYBE_BITS bits at most is broadcast, as rows of 64 bits: where it fills up, more rows
+    are true, so what follows does more work and gives the same result.
+    """
+    bit = lambda k: F.pmod(k, F.lit(1 << MAYBE_BITS))
+    words = hits.select(F.shiftright(bit(hit_key), 6).alias("__tw_word"), F.expr("1L").alias("one"), bit(hit_key).alias("k")).groupBy("__tw_word").agg(F.bit_or(F.expr("shiftleft(one, CAST(k & 63 AS INT))")).alias("__tw_bits"))
+    out = df.withColumn("__tw_bit", bit(key)).join(F.broadcast(words), F.shiftright("__tw_bit", 6) == F.col("__tw_word"), "left")
+    is_set = F.expr("coalesce(shiftrightunsigned(__tw_bits, CAST(__tw_bit & 63 AS INT)) & 1, 0) = 1")
+    return out.withColumn("__tw_maybe", is_set).drop("__tw_bit", "__tw_word", "__tw_bits")
+
+
+def bitmap_of(df: DataFrame, column: str):
+    """Broadcast bitmap of the 64-bit values of a column: longs, or packed values (binary).
+
+    16 bits a value, 2 ** PACKED_BITS bits (64 MB) at most; tasks send it in pieces of the ranges they hold.
+    """
+    import numpy as np
+
+    packed = df.schema[column].dataType.typeName() == "binary"
+    n = df.agg(F.sum(F.octet_length(column) / 8) if packed else F.count(column)).first()[0] or 0
+    bits = min(PACKED_BITS, max(16, int(16 * n).bit_length()))
+
+    def pieces(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for values in (np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()) if packed else [batch.column(0).to_numpy().view(np.uint64)]:
+                if len(values):
+                    at = values >> np.uint64(64 - bits)
+                    low = int(at.min() >> np.uint64(3))
+                    piece = np.zeros(int(at.max() >> np.uint64(3)) - low + 1, np.uint8)
+                    np.bitwise_or.at(piece, (at >> np.uint64(3)).astype(np.int64) - low, np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["low", "piece"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    values = df.select(column) if packed else df.select(column).repartitionByRange(F.shiftrightunsigned(column, 1)).sortWithinPartitions(F.shiftrightunsigned(column, 1))
+    for row in values.mapInArrow(pieces, "low long, piece binary").toLocalIterator():
+        out[row.low : row.low + len(row.piece)] |= np.frombuffer(row.piece, np.uint8)
+    return df.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def in_bitmap(bitmap: bytes, keys):
+    """Whether the bits of keys (uint64) are set."""
+    import numpy as np
+
+    bits = len(bitmap).bit_length() + 2
+    at = keys >> np.uint64(64 - bits)
+    return np.frombuffer(bitmap, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m

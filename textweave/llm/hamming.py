@@ -172,18 +172,18 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
             unit = np.where(size[unit] <= small, unit, -1 - np.arange(len(unit)))  # large units match nothing here
             for lag in range(1, min(small, int(size.max()))):
                 at = np.flatnonzero((unit[lag:] == unit[:-lag]) & (nodes[lag:] != nodes[:-lag]))
-                near = at[np.bitwise_count(words[at + lag] ^ words[at]).sum(1) <= radius]
+                near = at[(np.bitwise_count(words[at + lag] ^ words[at]).sum(1) <= radius) | ~words[at].any(1) | ~words[at + lag].any(1)]
                 hit[near] = hit[near + lag] = True
             for k in np.flatnonzero(size > small):
                 s, e = int(edges[k]), int(edges[k + 1])
-                if wide:
-                    for i in range(s, e - 1):
-                        at = i + 1 + np.flatnonzero((np.bitwise_count(words[i + 1 : e] ^ words[i]).sum(1) <= radius) & (nodes[i + 1 : e] != nodes[i]))
-                        hit[at] = True
-                        hit[i] |= len(at) > 0
-                    continue
-                for a, b in linked(words[s:e, 0].tolist(), roles[s:e].tolist(), radius, None, t.column(4)[s:e].to_pylist()):
-                    hit[s + a] = hit[s + b] = True
+                for i in range(s, e - 1):  # only nodes without a neighbour so far need a look at all others
+                    if hit[i]:
+                        others = i + 1 + np.flatnonzero(~hit[i + 1 : e])
+                    else:
+                        others = np.arange(i + 1, e)
+                    at = others[((np.bitwise_count(words[others] ^ words[i]).sum(1) <= radius) | ~words[others].any(1) | ~words[i].any()) & (nodes[others] != nodes[i])]
+                    hit[at] = True
+                    hit[i] |= len(at) > 0
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(nodes[hit]))], ["node"])
 
@@ -191,9 +191,9 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "node long").distinct()
 
 
-def neighbours(nodes: DataFrame, radius: int, blocks: int | None, chunk: int = CHUNK, keys: Column | None = None) -> DataFrame:
-    """(node) of those of nodes(node, fp) that have another within the radius, in families or in shards by keys."""
-    ids = _keyed(nodes, families(F.col("fp"), radius, blocks) if keys is None else keys, None).withColumn("g", F.col("node"))
+def near_rows(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(node) of those of rows(key, f, node, fp) that have another within the radius under a key; fingerprint zero is near to all."""
+    ids = rows.select("key", "f", "node", "fp", F.lit(0).cast("long").alias("w"), F.col("node").alias("g"))
     sizes = _shards(ids, False, None, chunk)
     wide = _wide(ids, sizes)
     found = table(_near_nodes(_chunks(ids, sizes, wide), radius), "neighbours")
@@ -211,13 +211,19 @@ def cluster(nodes: DataFrame, passes: list[Column] | None, radius: int, agree: C
     blocks: the passes are ``families``, those without a common block first.
     agree: confirms a pair by their values of the column body; w then has the bytes of body.
     """
-    links, known = None, None
-    full = lambda rows: rows.join(nodes.select("node", body), "node").select(*UNIT, body) if body else rows
     if blocks:
         keys, n, few = families(F.col("fp"), radius, blocks), comb(blocks, radius), blocks // (blocks - radius)
         passes = [F.slice(keys, 1, few), F.slice(keys, few + 1, n - few)]
-    for k, keys in enumerate(passes):
-        plain = _keyed(nodes, keys, body, few if blocks and k else 0)
+    rows = [_keyed(nodes, keys, body, few if blocks and k else 0) for k, keys in enumerate(passes)]
+    return link_rows(rows, radius, agree, nodes.select("node", F.col(body).alias("body")) if body else None, chunk, blocks)
+
+
+def link_rows(passes: list[DataFrame], radius: int, agree: Callable | None, bodies: DataFrame | None, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
+    """``cluster`` of passes of rows(key, f, node, fp, w), with bodies(node, body)."""
+    links, known = None, None
+    body = "body" if bodies is not None else None
+    full = lambda rows: rows.join(bodies, "node").select(*UNIT, body) if body else rows
+    for plain in passes:
         ids = _grouped(plain, known)
         sizes = _shards(ids, known is not None, body, chunk)
         wide = _wide(ids, sizes)
