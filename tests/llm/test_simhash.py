@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from textweave.llm import hamming
 from textweave.llm.common import connected_components
-from textweave.llm.hamming import BkTree, Sets, cluster, neighbours
+from textweave.llm.hamming import BkTree, Sets, cluster, families, near_rows
 from textweave.llm.simhash_dedup import near_components, simhash_components, simhash_dedup
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -116,8 +118,10 @@ def test_links_with_small_chunks(spark, chunk):
     values = sorted({(7 << 40) ^ sum(1 << int(b) for b in rng.choice(20, 3, replace=False)) for _ in range(60)} | {int(x) for x in rng.integers(0, 1 << 62, 50)})
     nodes = spark.createDataFrame([(v, v) for v in values], "node long, fp long")
     got = {r.node: r.component for r in cluster(nodes, None, 2, chunk=chunk, blocks=4).collect()}
-    near = {v for v in values if any(v != x and (v ^ x).bit_count() <= 2 for x in values)}
-    assert {r.node for r in neighbours(nodes, 2, 4, chunk).collect()} == near
+    some = [v for v in values if v]  # zero is near to all there
+    near = {v for v in some if any(v != x and (v ^ x).bit_count() <= 2 for x in some)}
+    keyed = nodes.where("fp <> 0").select("node", "fp", F.posexplode(families(F.col("fp"), 2, 4)).alias("f", "key"))
+    assert {r.node for r in near_rows(keyed, 2, chunk).collect()} == near
     want = components(values, values)
     assert [got.get(v, v) for v in values] == want
 

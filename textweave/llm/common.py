@@ -80,13 +80,13 @@ def maybe_in(df: DataFrame, key: Column, hits: DataFrame, hit_key: Column) -> Da
 def bitmap_of(df: DataFrame, column: str):
     """Broadcast bitmap of the 64-bit values of a column: longs, or packed values (binary).
 
-    16 bits a value, 2 ** PACKED_BITS bits (64 MB) at most; tasks send it in pieces of the ranges they hold.
+    32 bits a value, 2 ** PACKED_BITS bits (64 MB) at most; tasks send it in pieces of the ranges they hold.
     """
     import numpy as np
 
     packed = df.schema[column].dataType.typeName() == "binary"
     n = df.agg(F.sum(F.octet_length(column) / 8) if packed else F.count(column)).first()[0] or 0
-    bits = min(PACKED_BITS, max(16, int(16 * n).bit_length()))
+    bits = min(PACKED_BITS, max(16, int(32 * n).bit_length()))
 
     def pieces(batches):
         import pyarrow as pa
