@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textweave.llm.common import connected_components, table
 
-CHUNK, CHUNK_BYTES, FEW, OPEN = 2_048, 16 << 20, 200_000, 1 << 15
+CHUNK, CHUNK_BYTES, FEW = 2_048, 16 << 20, 200_000
 UNIT = ["key", "c", "role", "f", "g", "node", "fp"]
 
 
@@ -60,7 +60,7 @@ def _grouped(ids: DataFrame, known: DataFrame | None) -> DataFrame:
     return ids.join(known, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
 
 
-def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int | None, later: Callable | None = None) -> DataFrame:
+def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int | None) -> DataFrame:
     """Spanning links (a, b) of the units (key, c) of rows(key, c, role, f, g, node, fp, [body]).
 
     blocks: keys are ``families``; a pair is then looked at in the first family it shares alone.
@@ -70,53 +70,29 @@ def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int |
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        a, b, open_ = [], [], []
+        a, b = [], []
         for roles, family, groups, ids, fps, *more in runs(batches):
             plain, earlier = [int.from_bytes(x, "little") if isinstance(x, bytes) else x & 0xFFFFFFFFFFFFFFFF for x in fps], known[: family[0]]
 
-            def check(s: int, t: int) -> bool | None:
+            def check(s: int, t: int) -> bool:
                 x = plain[s] ^ plain[t]
                 for m in earlier:
                     if not x & m:
                         return False
                 return agree is None or agree(more[0][s], more[0][t])
 
-            undecided: list[tuple] = []
-            for s, t in linked(plain, roles, radius, check, groups, undecided):
+            for s, t in linked(plain, roles, radius, check, groups):
                 a.append(ids[s])
                 b.append(ids[t])
-            open_ += [(sets, s, t, ids[s], ids[t], more[0][s], more[0][t]) for sets, s, t in undecided if sets.find(s) != sets.find(t)]
-            if len(open_) >= OPEN:
-                settle(open_, later, a, b)
-                open_ = []
             if len(a) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
-        settle(open_, later, a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "a long, b long").where("a <> b")
 
 
-def settle(pairs: list[tuple], later: Callable | None, a: list, b: list) -> None:
-    """Adds the links among undecided pairs to a and b: two of each node first, then what these have not connected."""
-    for some in (2, None):
-        met: dict[tuple, int] = {}
-        now, rest = [], []
-        for p in pairs:
-            sets, s, t = p[:3]
-            if sets.find(s) == sets.find(t):
-                continue
-            k = met[id(sets), t] = met.get((id(sets), t), 0) + 1
-            (now if some is None or k <= some else rest).append(p)
-        for p, yes in zip(now, later([p[5:] for p in now]) if now else []):
-            if yes and p[0].join(p[1], p[2]):
-                a.append(p[3])
-                b.append(p[4])
-        pairs = rest
-
-
 def _chunk_pairs(ids: DataFrame, chunk: int) -> DataFrame:
     """Units (key, c, role, f, g, node, fp) that bring together all nodes of ids(key, f, node, fp, w, g) of different components."""
     per = ids.groupBy("key", "g").agg(F.count("*").alias("n"), F.sum("w").alias("w")).withColumn("p", _parts(F.col("n"), F.col("w"), chunk))
@@ -242,11 +218,8 @@ def cluster(nodes: DataFrame, passes: list[Column] | None, radius: int, agree: C
     return link_rows(rows, radius, agree, nodes.select("node", F.col(body).alias("body")) if body else None, chunk, blocks)
 
 
-def link_rows(passes: list[DataFrame], radius: int, agree: Callable | None, bodies: DataFrame | None, chunk: int = CHUNK, blocks: int | None = None, later: Callable | None = None) -> DataFrame | None:
-    """``cluster`` of passes of rows(key, f, node, fp, w), with bodies(node, body); None if there are no rows.
-
-    Where agree gives None, later decides, for a list of pairs of bodies at once.
-    """
+def link_rows(passes: list[DataFrame], radius: int, agree: Callable | None, bodies: DataFrame | None, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame | None:
+    """``cluster`` of passes of rows(key, f, node, fp, w), with bodies(node, body); None if there are no rows."""
     links, known = None, None
     body = "body" if bodies is not None else None
     full = lambda rows: rows.join(bodies, "node").select(*UNIT, body) if body else rows
@@ -254,13 +227,13 @@ def link_rows(passes: list[DataFrame], radius: int, agree: Callable | None, bodi
         ids = _grouped(plain, known)
         sizes = _shards(ids, known is not None, body, chunk)
         wide = _wide(ids, sizes)
-        found = table(_search(full(_chunks(ids, sizes, wide)), radius, agree, blocks, later), "links")
+        found = table(_search(full(_chunks(ids, sizes, wide)), radius, agree, blocks), "links")
         if links is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             known = table(connected_components(links), "groups")
         if wide is not None:
             again = _chunk_pairs(_grouped(wide.drop("g", "parts"), known), chunk)
-            found = table(_search(full(again), radius, agree, blocks, later), "links")
+            found = table(_search(full(again), radius, agree, blocks), "links")
             if not found.isEmpty():
                 links = links.union(found)
                 known = table(connected_components(links), "groups")
@@ -347,7 +320,7 @@ class Sets:
         return a != b
 
 
-def linked(fps: list[int], roles: list[int], radius: int, agree: Callable[[int, int], bool | None] | None = None, groups: list[int] | None = None, undecided: list | None = None) -> Iterator[tuple[int, int]]:
+def linked(fps: list[int], roles: list[int], radius: int, agree: Callable[[int, int], bool] | None = None, groups: list[int] | None = None) -> Iterator[tuple[int, int]]:
     """Spanning links (positions) of a unit; agree confirms a link that the radius allows.
 
     roles: 1 in the tree, 2 a query, 3 both.  Positions with the same group are connected already.
@@ -365,13 +338,9 @@ def linked(fps: list[int], roles: list[int], radius: int, agree: Callable[[int,
     for k in queries:
         for t in tree.near(fps[k], radius):
             other = place[t]
-            if sets.find(other) != sets.find(k):
-                yes = agree is None or agree(other, k)
-                if yes:
-                    sets.join(other, k)
-                    yield other, k
-                elif yes is None:
-                    undecided.append((sets, other, k))
+            if sets.find(other) != sets.find(k) and (agree is None or agree(other, k)):
+                sets.join(other, k)
+                yield other, k
         if not alone:
             tree.add(fps[k])
             place.append(k)
