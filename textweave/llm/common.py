@@ -125,11 +125,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links(a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds, each one aggregate with map-side combine and one
-    join, cut by checkpoint().  Links never reach the driver, and a node with very many neighbours
+    join, cut by a written table.  Links never reach the driver, and a node with very many neighbours
     is only ever a skewed join side, which adaptive execution can split.
     """
-    shared_dir(links.sparkSession)
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().checkpoint()
+    edges = table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
 
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -144,7 +143,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a < b").distinct()
-        edges = small.checkpoint()
+        edges = table(small, "edges")
         after = state(edges)
         if after == before:
             break

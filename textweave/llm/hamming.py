@@ -81,9 +81,18 @@ def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int |
                         return False
                 return agree is None or agree(more[0][s], more[0][t])
 
+            up: dict[int, int] = {}  # links leave as stars, which settle in fewer rounds
             for s, t in linked(plain, roles, radius, check, groups):
-                a.append(ids[s])
-                b.append(ids[t])
+                while s in up:
+                    s = up[s]
+                while t in up:
+                    t = up[t]
+                up[max(s, t)] = min(s, t)
+            for k, root in up.items():
+                while root in up:
+                    root = up[root]
+                a.append(ids[root])
+                b.append(ids[k])
             if len(a) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []

@@ -23,7 +23,7 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inv = pow(_P, -1, 1 << 64)
     out = []
@@ -40,17 +40,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+def hash_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a buffer, from which ``hash_spans`` has the hash of any span."""
     n = 1 << max(16, int(len(buf) + 1).bit_length())
     power, inverse = _powers(n)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
+    x = buf.astype(np.uint64)
+    x += np.uint64(1)
+    x *= power[: len(buf)]
+    np.cumsum(x, out=total[1:])
+    return total, inverse
+
+
+def hash_spans(sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes."""
+    total, inverse = sums
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span's bytes."""
+    return hash_spans(hash_sums(buf), starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+
+
 def bit_counts(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of h[offsets[i]:offsets[i+1]] have each of the 64 bits; int64 (rows, 64)."""
     lens = np.diff(offsets)
