@@ -32,3 +32,29 @@ def test_empty(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame([], "doc_id long, text string").write.parquet(path)
     assert exact_dedup(spark, path).count() == 0
+
+
+def test_goes_on_from_a_checkpoint(spark, tmp_path):
+    """A second run with the checkpoint streams the new file alone, and knows the first one's rows."""
+    at, path = str(tmp_path / "state"), str(tmp_path / "docs.parquet")
+    spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    first = sorted(tuple(r)[:4] for r in exact_dedup(spark, path, checkpoint=at).collect())
+    assert first == [(5, 5, 1, True), (6, 6, 1, True)]
+    spark.createDataFrame([(1, "ab"), (2, " c ")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    got = sorted(tuple(r)[:4] for r in exact_dedup(spark, path, checkpoint=at).collect())
+    assert got == [(1, 5, 2, False), (2, 2, 2, True), (5, 5, 2, True), (6, 2, 2, False)]
+    import os
+
+    assert sorted(x for x in os.listdir(f"{at}/updates")) == ["batch=0", "batch=1"]
+
+
+def test_odd_paths_and_columns(spark, tmp_path):
+    """A trailing slash, glob characters, and a column named as Spark's own."""
+    path = str(tmp_path / "a{b}[c]" / "docs.parquet")
+    spark.createDataFrame([(1, "x", 3), (2, "x", 3)], "doc_id long, text string, _metadata int").write.parquet(path)
+    from textweave.llm import exact_dedup as module
+
+    assert module._pattern("/p/q*r/") == "/p/q\\*[r]"
+    plain = str(tmp_path / "docs.parquet")
+    spark.read.parquet(path.replace("{", "\\{").replace("}", "\\}").replace("[", "\\[").replace("]", "\\]")).write.parquet(plain)
+    assert sorted(tuple(r)[:4] for r in exact_dedup(spark, plain + "/").collect()) == [(1, 1, 2, True), (2, 1, 2, False)]
