@@ -23,11 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.common import prepare, table
+from textweave.llm.common import maybe_in, prepare, table
 from textweave.llm.hamming import cluster
 
-BATCH = 1 << 21
-SMALL = 200_000
+BATCH = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,14 +122,15 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
         i = j
 
 
-def _set_name(s: np.ndarray) -> int:
+def _set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit names of sets, as rows of two numbers."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), np.int64).reshape(-1, 2)
 
 
 def set_features(rows: DataFrame, size: int, n_keys: int) -> DataFrame:
-    """(row, id, node, n, fp, keys) of rows(row, id, text): the set's name, its size, its SimHash, its min-hashes."""
+    """(row, row2, id, node, node2, n, fp, keys) of rows(row, row2, id, text): the set's name, its size, its SimHash, its min-hashes."""
 
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -140,7 +140,7 @@ def set_features(rows: DataFrame, size: int, n_keys: int) -> DataFrame:
         seeds = mix(np.arange(1, n_keys + 1, dtype=np.uint64) * _STEP)
         for batch in batches:
             names, n, fps, keys = [], [], [], []
-            for part in _slices([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]):
+            for part in _slices([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]):
                 sets = shingle_sets(part, size)
                 lens = np.array([len(s) for s in sets], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(lens)])
@@ -151,14 +151,17 @@ def set_features(rows: DataFrame, size: int, n_keys: int) -> DataFrame:
                 if some.size:
                     for k, seed in enumerate(seeds):
                         low[some, k] = mix(np.minimum.reduceat(mix(flat ^ seed), offsets[:-1][some]) + seed).view(np.int64)
-                names += [_set_name(s) for s in sets]
+                names.append(_set_names(sets))
                 n += lens.tolist()
                 keys += [x.tolist() if m else [] for x, m in zip(low, lens)]
             fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(n, pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "node", "n", "fp", "keys"])
+            names = np.concatenate(names) if names else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in range(3)), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n, pa.int64()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], ["row", "row2", "id", "node", "node2", "n", "fp", "keys"]
+            )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"row long, id {kind}, node long, n long, fp long, keys array<long>")
+    return rows.mapInArrow(make, f"row long, row2 long, id {kind}, node long, node2 long, n long, fp long, keys array<long>")
 
 
 def set_bodies(rows: DataFrame, size: int) -> DataFrame:
@@ -170,7 +173,7 @@ def set_bodies(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in _slices([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]):
                 sets = shingle_sets(part, size)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(_set_names(sets)[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "body"])
 
     return rows.select("text").mapInArrow(make, "node long, body binary")
 
@@ -183,11 +186,6 @@ def jaccard_at_least(a: bytes, b: bytes, similarity: float) -> bool:
     return both >= similarity * (n + m - both)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df of one number a row for a join: broadcast up to SMALL rows, else by shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 26, n_keys: int = 8) -> DataFrame:
     """(id, component_id) of every row: groups linked by a Jaccard similarity of word shingles.
 
@@ -196,25 +194,39 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by SimHash within a radius that allows five standard deviations, and are verified on their whole sets.
     """
     seen, named = _near_rows(docs, id_col, text_col, size, similarity, radius, n_keys)
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return seen.select("id", "node").join(named.join(lowest, "component").select("node", "component_id"), "node").select("id", "component_id")
+    of = _parts(seen, named)
+    lowest = of.groupBy("part").agg(F.min("id").alias("component_id"))
+    return of.join(lowest, "part").select("id", "component_id")
+
+
+def _parts(seen: DataFrame, named: DataFrame) -> DataFrame:
+    """seen with part, the component of its node; a set that only shares 64 bits of another's name stands alone."""
+    own = F.col("node2") == F.col("named2")
+    part = F.when(own, F.struct(F.col("component").alias("a"), F.lit(None).cast("long").alias("b"))).otherwise(F.struct(F.col("node").alias("a"), F.col("node2").alias("b")))
+    return seen.join(named.select("node", F.col("node2").alias("named2"), "component"), "node").withColumn("part", part).drop("named2", "component")
 
 
 def _near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 26, n_keys: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(row, id, node, ..) of every row, and (node, low, component) of every node, as for ``near_components``."""
+    """(row, row2, id, node, node2) of every row, and (node, node2, component) of every node, as for ``near_components``."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(*_row_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = table(set_features(rows, size, n_keys), "shingled")
-    nodes = table(seen.groupBy("node").agg(F.min("row").alias("row"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    nodes = table(seen.groupBy("node").agg(F.min(F.struct("node2", "row", "n", "fp", "keys")).alias("x")).select("node", "x.*"), "nodes")
     keyed = nodes.select("node", "row", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     wanted = table(keyed.join(shared, "key", "left_semi").select("node", "row").distinct(), "wanted")
-    bodies = set_bodies(rows.join(_small(wanted.select("row")), "row", "left_semi"), size).groupBy("node").agg(F.first("body").alias("body"))
+    some = maybe_in(rows.select("row", "text"), F.col("row"), wanted, F.col("row")).where("__tw_maybe")  # few others come along and are joined to nothing
+    bodies = set_bodies(some, size).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
     found = table(nodes.join(bodies, "node").select("node", "fp", "keys", (8 * F.col("n")).alias("w"), "body"), "sets")
     few = min(2, n_keys)
     passes = [F.slice("keys", 1, few), *([F.slice("keys", few + 1, n_keys - few)] if n_keys > few else [])]
     parts = cluster(found, passes, radius, lambda a, b: jaccard_at_least(a, b, similarity), "body")
-    return seen, nodes.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    return seen.select("row", "row2", "id", "node", "node2"), nodes.join(parts, "node", "left").select("node", "node2", F.coalesce("component", "node").alias("component"))
+
+
+def _row_keys(id_col: str, text_col: str, names: tuple[str, str] = ("row", "row2")) -> list:
+    """A 128-bit hash of a row's id and text, as two columns."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias(names[0]), F.xxhash64(F.lit(2), F.col(text_col), F.col(id_col)).alias(names[1])]
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -223,15 +235,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of rows that repeat in full (id and text), one stays.
     """
     seen, named = _near_rows(docs, id_col, text_col, **how)
-    rows = table(seen.join(named.select("node", "component"), "node").groupBy("row").agg(F.first("component").alias("component"), F.first("id").alias("id"), F.count("*").alias("n")), "near-rows")
-    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    stays = rows.groupBy("component").agg(F.min(at).alias("stays"), F.count("*").alias("k")).where("k > 1").select("component", F.col("stays.row").alias("stays"))
-    gone = table(rows.join(stays, "component").where("row <> stays").select(F.col("row").alias("__tw_gone")), "gone")
-    often = table(rows.where("n > 1").select(F.col("row").alias("__tw_often")), "often")
-    keyed = docs.withColumn("__tw_row", F.xxhash64(id_col, text_col))
-    left = keyed.join(_small(gone), F.col("__tw_row") == F.col("__tw_gone"), "left_anti")
-    if often.isEmpty():
-        return left.drop("__tw_row")
-    same = F.col("__tw_row") == F.col("__tw_often")
-    once = left.join(_small(often), same, "left_semi").dropDuplicates(["__tw_row"])
-    return left.join(_small(often), same, "left_anti").unionByName(once).drop("__tw_row")
+    rows = table(_parts(seen, named).groupBy("row", "row2").agg(F.first("part").alias("part"), F.first("id").alias("id"), F.count("*").alias("n")), "near-rows")
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "row2")
+    stays = rows.groupBy("part").agg(F.min(at).alias("stays"), F.count("*").alias("k")).where("k > 1").select("part", F.col("stays.row").alias("s1"), F.col("stays.row2").alias("s2"))
+    gone = rows.join(stays, "part").where("NOT (row = s1 AND row2 = s2)").select("row", "row2", F.lit(False).alias("once"))
+    often = rows.where("n > 1").join(gone, ["row", "row2"], "left_anti").select("row", "row2", F.lit(True).alias("once"))
+    acts = table(gone.union(often).select(F.col("row").alias("__tw_1"), F.col("row2").alias("__tw_2"), F.col("once").alias("__tw_once")), "near-acts")
+    k1, k2 = _row_keys(id_col, text_col, ("__tw_k1", "__tw_k2"))
+    keyed = maybe_in(docs.select("*", k1, k2), F.col("__tw_k1"), acts, F.col("__tw_1"))
+    met = keyed.where("__tw_maybe").join(acts, (F.col("__tw_k1") == F.col("__tw_1")) & (F.col("__tw_k2") == F.col("__tw_2")), "left")
+    out = keyed.where("NOT __tw_maybe").select(*[f"`{c}`" for c in docs.columns]).unionByName(met.where("__tw_once IS NULL").select(*[f"`{c}`" for c in docs.columns]))
+    if acts.where("__tw_once").isEmpty():
+        return out
+    return out.unionByName(met.where("__tw_once").dropDuplicates(["__tw_k1", "__tw_k2"]).select(*[f"`{c}`" for c in docs.columns]))
