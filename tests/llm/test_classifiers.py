@@ -1,4 +1,7 @@
 import os
+import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -36,9 +39,49 @@ def test_features_do_not_cross_texts():
     assert sorted(both[row == 0].tolist()) == sorted(alone[0].tolist()) and sorted(both[row == 2].tolist()) == sorted(alone[1].tolist())
     text = "".join(np.random.default_rng(1).choice(list("abc de"), 5000))
     old, language_id.SLICE = language_id.SLICE, 100
-    parts = np.concatenate([language_id.features([p])[0] for p in language_id._parts(text)])
+    for t in (text, "  --" * 200 + text + "!!" * 300 + text, "a" * 450, "a" * 100 + " " * 250 + "bc" * 80):
+        parts = np.concatenate([language_id.features([p], [n])[0] for p, n in language_id._parts(t)])
+        assert sorted(parts.tolist()) == sorted(language_id.features([t])[0].tolist())
     language_id.SLICE = old
-    assert len(parts) >= len(language_id.features([text])[0])
+
+
+def bucket(gram):
+    h = 0
+    for ch in gram:
+        h = (h * 0x100000001B3 + ord(ch)) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return h >> (64 - language_id.BITS)
+
+
+def grams(text):
+    """Buckets of a text's n-grams, one character after the other."""
+    t = re.sub(r"[\W\d_]+", " ", text).lower()
+    return [bucket(t[k : k + n]) for n in (1, 2, 3) for k in range(len(t) - n + 1) if t[k : k + n] != " "]
+
+
+def test_language_against_brute_force(spark):
+    """Counts, smoothing, prior and posterior recomputed from the texts, whole words of chance."""
+    draw = random.Random(8)
+    letters = {"aa": "abcdé fgh", "bb": "abx yzüw q", "cc": "mnop ab c"}
+    rows = [(k, "".join(draw.choice(letters[x]) for _ in range(draw.randint(3, 80))), x) for k in range(150) for x in [draw.choice(["aa", "aa", "bb", "cc"])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    logp, prior = {}, {}
+    for x in letters:
+        n = np.full(1 << language_id.BITS, 0.5)
+        for _, t, y in learned:
+            if x == y:
+                np.add.at(n, grams(t), 1)
+        logp[x], prior[x] = np.log(n / n.sum()), np.log(sum(y == x for *_, y in learned) / len(learned))
+    for k, t, _ in rows:
+        total = {x: prior[x] + logp[x][grams(t)].sum() for x in letters}
+        if not any(ch.isalpha() for ch in t):
+            assert got[k].lang_pred == "und"
+            continue
+        want = max(sorted(total), key=total.get)
+        mean = {x: v / max(1.0, len(grams(t)) / 30) for x, v in total.items()}
+        score = 1 / sum(np.exp(v - mean[want]) for v in mean.values())
+        assert got[k].lang_pred == want and abs(got[k].score - score) < 1e-4 and got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2)
 
 
 @here
@@ -87,3 +130,32 @@ def test_learning_keeps_off_held_out_rows(spark):
 
     lex = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.coalesce(crc_mod("doc_id", 5), F.lit(0)) != 0)
     assert "vermin$" in lex.entries and not any(p.startswith("secr") for p in lex.entries)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Matches, exceptions and the curve recomputed word by word from the learned lexicon; a harmless set phrase is learned."""
+    draw = random.Random(3)
+    calm = ["river", "house", "green", "walk", "paper", "light", "stone"]
+    rows, marks = [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        t = [draw.choice(calm) for _ in range(draw.randint(5, 30))]
+        if toxic:
+            t[draw.randrange(len(t))] = draw.choice(["scumbag", "vermin"])
+        elif k % 100 == 1:
+            t += ["vermin", "control", "office"]
+        rows.append((k, " ".join(t)))
+        marks.append((k, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    lex = toxicity.learn_lexicon(docs, labels, crc_mod("doc_id", 5) != 0)
+    assert "vermin control" in lex.exceptions and not any(x.startswith("scumbag") for x in lex.exceptions)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for k, text in rows:
+        t, total = text.split(), 0.0
+        for i, w in enumerate(t):
+            weights = [v for p, v in lex.entries.items() if (w == p[:-1] if p.endswith("$") else w.startswith(p))]
+            spared = w in lex.exceptions or " ".join(t[i : i + 2]) in lex.exceptions
+            total += max(weights, default=0.0) * (not spared)
+        score = 1 / (1 + np.exp(-np.clip(lex.slope * total / len(t) ** lex.gamma + lex.bias, -30, 30)))
+        assert abs(got[k].score - score) < 1e-9 and got[k].predicted == int(score >= 0.5)
+    assert all(got[k].predicted == y for k, y in marks)

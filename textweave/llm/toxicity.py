@@ -3,13 +3,16 @@
 Texts are folded first: compatibility forms and accents of confusable letters, Cyrillic and Greek
 look-alikes, and digits or signs that stand for letters inside a word (``1d10t``).  The lexicon holds
 whole words and word beginnings with log-odds weights, learned from a bounded labelled sample
-(``per_label`` documents a label); exception phrases cancel a match that begins where they begin.
+(``per_label`` documents a label); exception phrases, of one word or two, cancel a match that begins where
+they begin.  They are learned from the same sample: words that begin with an entry, and pairs of words whose
+first is matched, that are no more frequent in toxic documents than in others.
 The sum of the weights over ``n_words ** gamma`` goes through a logistic curve; gamma and the curve
-are fitted on the same sample.  The lexicon has at most ``size`` entries, and as many exceptions.
+are fitted on the same sample.  The lexicon has at most ``size`` entries, and as many exceptions of each kind.
 
 Edge cases: null and empty texts score as a text without matches; a null id is never learned from
 and counts as held out; repeated label rows count once (the largest label); without labels of both
-kinds every score is 0; an empty table gives an empty result.
+kinds every score is 0; an empty table gives an empty result; of equal weights the lesser entry comes first;
+very long texts are scored whole; further columns are ignored or kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,6 +96,10 @@ class Lexicon:
             a.make_automaton()
         return a if found else None
 
+    def holds(self, word: str) -> bool:
+        """Whether a match begins at the word."""
+        return f"{word}$" in self.entries or any(word[:k] in self.entries for k in _STEMS)
+
     def total(self, automaton, tokens: list[str]) -> float:
         """Sum over word positions of the heaviest entry that begins there, unless an exception does."""
         if automaton is None or not tokens:
@@ -175,6 +182,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         spared = counts.where(F.col("f").endswith("$") & begins & (F.col("n0") >= 2) & (F.col("n0") * n[1] >= F.col("n1") * n[0])).orderBy(F.desc("n0"), "f").limit(size).collect()
         lex.exceptions = [r["f"][:-1] for r in spared]
 
+    def pairs(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen = [Counter(), Counter()]
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = words(text or "")
+                seen[int(y == 1)].update({f"{a} {b}" for a, b in zip(t, t[1:]) if lex.holds(a)})
+        keys = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], ["f", "n0", "n1"])
+
+    met = sample.mapInArrow(pairs, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    met = met.where((F.col("n0") >= 2) & (F.col("n0") * n[1] >= F.col("n1") * n[0])).orderBy(F.desc("n0"), "f").limit(size)
+    lex.exceptions = lex.exceptions + [r["f"] for r in met.collect()]
+
     def totals(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
