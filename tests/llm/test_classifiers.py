@@ -142,7 +142,7 @@ def test_toxicity_against_brute_force(spark):
         t = [draw.choice(calm) for _ in range(draw.randint(5, 30))]
         if toxic:
             t[draw.randrange(len(t))] = draw.choice(["scumbag", "vermin"])
-        elif k % 100 == 1:
+        elif k % 150 == 1:
             t += ["vermin", "control", "office"]
         rows.append((k, " ".join(t)))
         marks.append((k, int(toxic)))

@@ -163,7 +163,7 @@ def _chunks(ids: DataFrame, sizes: DataFrame, wide: DataFrame | None) -> DataFra
 
 
 def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
-    """(node) of those that have another within the radius in their unit; units as for ``_search``."""
+    """(key, node) of those that have another within the radius in their unit; units as for ``_search``."""
     import numpy as np
 
     small = 16
@@ -172,7 +172,7 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
         import pyarrow as pa
 
         for t, edges in whole_units(batches):
-            roles, nodes = (t.column(k).to_numpy() for k in (2, 5))
+            keys, nodes = (t.column(k).to_numpy() for k in (0, 5))
             wide = pa.types.is_binary(t.schema.field(6).type)
             words = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(nodes), -1) if wide else t.column(6).to_numpy().view(np.uint64)[:, None]
             size = np.diff(edges)
@@ -194,22 +194,22 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
                     hit[at] = True
                     hit[i] |= len(at) > 0
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(nodes[hit]))], ["node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(nodes[hit])], ["key", "node"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "node long").distinct()
+    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "key long, node long").distinct()
 
 
 def near_rows(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """(node) of those of rows(key, f, node, fp) that have another within the radius under a key; fingerprint zero is near to all."""
+    """(key, node) of those of rows(key, f, node, fp) that have another within the radius under the key; fingerprint zero is near to all."""
     ids = rows.select("key", "f", "node", "fp", F.lit(0).cast("long").alias("w"), F.col("node").alias("g"))
     sizes = _shards(ids, False, None, chunk)
     wide = _wide(ids, sizes)
     found = table(_near_nodes(_chunks(ids, sizes, wide), radius), "neighbours")
     if wide is None:
         return found
-    # Nodes found are as one component now: none of them needs another neighbour.
-    left = wide.drop("g", "parts").join(found.withColumn("known", F.lit(0).cast("long")), "node", "left").withColumn("g", F.coalesce("known", "node")).drop("known")
+    # Nodes found under a key are as one component there now: none of them needs another neighbour.
+    left = wide.drop("g", "parts").join(found.withColumn("known", F.lit(0).cast("long")), ["key", "node"], "left").withColumn("g", F.coalesce("known", "node")).drop("known")
     return found.union(_near_nodes(_chunk_pairs(left, chunk), radius)).distinct()
 
 
