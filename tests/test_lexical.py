@@ -3,6 +3,7 @@ import sqlite3
 
 import pytest
 
+from textweave.functions.text import stem_table
 from textweave.operators import lexical as lx
 from textweave.operators.match_query import MatchError, parse
 
@@ -86,3 +87,17 @@ def test_snippets(docs, index):
     hits = lx.search(index, "fox sleeps")
     rows = {r.id: r.snippet for r in lx.snippets(hits, docs, "fox sleeps", stemmed=True).collect()}
     assert "fox sleeps" in rows["a/garden.md"]
+
+
+def test_stemmer_sees_distinct_terms(spark):
+    """Each word once, also where a query asks for one stem."""
+    docs = spark.createDataFrame([(k, "ranking ranked ranks ranking") for k in range(50)], "id long, body string")
+    rows = docs.selectExpr("explode(split(body, ' ')) AS term")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    text = plan(stem_table(rows).where("stem = 'rank'"))
+    assert text.index("stem") < text.index("Aggregate") and "Filter" not in text[text.index("Aggregate") :]
+    ix = lx.build(docs, "id", {"body": 1.0}, stem=True)
+    assert {(r.id, tuple(r["at"])) for r in ix.postings.where("term = 'rank'").collect()} == {(k, (0, 1, 2, 3)) for k in range(50)}

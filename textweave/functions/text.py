@@ -121,5 +121,9 @@ def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def stem_table(terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """(term, stem) of the distinct terms: the stemmer sees each word once, not each occurrence."""
-    return terms.select(F.col(term_col).alias("term")).distinct().withColumn("stem", F.pandas_udf(_stems, "string")("term"))
+    """(term, stem) of the distinct terms: the stemmer sees each word once, not each occurrence.
+
+    It is marked as nondeterministic, so no filter on stems is pushed below the distinct.
+    """
+    stem = F.pandas_udf(_stems, "string").asNondeterministic()
+    return terms.select(F.col(term_col).alias("term")).distinct().withColumn("stem", stem("term"))

@@ -38,10 +38,11 @@ class Index:
 def postings(docs: DataFrame, id_col: str, columns: tuple[str, ...], stem: bool = False) -> DataFrame:
     cols = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("t")) for c in columns])).alias("x")
     rows = docs.select(F.col(id_col).alias("id"), cols).select("id", "x.col", F.posexplode("x.t").alias("pos", "term"))
-    if stem:
-        stems = stem_table(rows)
-        rows = rows.join(stems, "term").select("id", "col", "pos", F.col("stem").alias("term"))
-    return rows.groupBy("id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    rows = rows.groupBy("id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    if not stem:
+        return rows
+    stemmed = rows.join(stem_table(rows), "term").groupBy("id", "col", F.col("stem").alias("term"))
+    return stemmed.agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
 
 
 def lengths(docs: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
