@@ -116,6 +116,24 @@ def in_bitmap(bitmap: bytes, keys):
     return np.frombuffer(bitmap, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
+def tidy(work):
+    """work, a function over Arrow batches, after which the worker gives its free memory back to the system."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return run
+
+
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m

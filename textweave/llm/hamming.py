@@ -28,7 +28,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.common import connected_components, table
+from textweave.llm.common import connected_components, table, tidy
 
 CHUNK, CHUNK_BYTES, FEW = 2_048, 16 << 20, 200_000
 UNIT = ["key", "c", "role", "f", "g", "node", "fp"]
@@ -99,7 +99,7 @@ def _search(rows: DataFrame, radius: int, agree: Callable | None, blocks: int |
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "a long, b long").where("a <> b")
+    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(tidy(search), "a long, b long").where("a <> b")
 
 
 def _chunk_pairs(ids: DataFrame, chunk: int) -> DataFrame:
@@ -197,7 +197,7 @@ def _near_nodes(rows: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(nodes[hit])], ["key", "node"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(search, "key long, node long").distinct()
+    return rows.repartition(n, "key", "c").sortWithinPartitions("key", "c", "role").mapInArrow(tidy(search), "key long, node long").distinct()
 
 
 def near_rows(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.common import maybe_in, prepare, table
+from textweave.llm.common import maybe_in, prepare, table, tidy
 from textweave.llm.hamming import cluster
 
 BATCH = 1 << 20
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(make), f"doc_id {kind}, fp long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
@@ -161,7 +161,7 @@ def set_features(rows: DataFrame, size: int, n_keys: int) -> DataFrame:
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"row long, row2 long, id {kind}, node long, node2 long, n long, fp long, keys array<long>")
+    return rows.mapInArrow(tidy(make), f"row long, row2 long, id {kind}, node long, node2 long, n long, fp long, keys array<long>")
 
 
 def set_bodies(rows: DataFrame, size: int) -> DataFrame:
@@ -175,7 +175,7 @@ def set_bodies(rows: DataFrame, size: int) -> DataFrame:
                 sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays([pa.array(_set_names(sets)[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "body"])
 
-    return rows.select("text").mapInArrow(make, "node long, body binary")
+    return rows.select("text").mapInArrow(tidy(make), "node long, body binary")
 
 
 def jaccard_at_least(a: bytes, b: bytes, similarity: float) -> bool:
