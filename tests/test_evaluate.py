@@ -22,6 +22,13 @@ def test_grep(spark):
     assert [(x.id, x.score, x.total) for x in r] == [("b", 2, 2), ("a", 1, 3), ("c", 1, 1)]
 
 
+def test_best_k_before_the_shuffle(spark):
+    corpus = spark.createDataFrame([(k, f"fox {k}") for k in range(40)], "id long, text string")
+    r = ev.grep(corpus, spark.createDataFrame([(1, "fox")], "query_id long, query string"))
+    assert "WindowGroupLimit" in r._jdf.queryExecution().executedPlan().toString()
+    assert [x.id for x in r.orderBy("rank").collect()] == list(range(8))
+
+
 def test_metrics(spark):
     queries = spark.createDataFrame([(1, ["b"], "exact"), (2, ["z"], "exact"), (3, ["c", "a"], "other")], "query_id long, gold array<string>, class string")
     hits = spark.createDataFrame([(q, x, k) for q in (1, 2, 3) for k, x in enumerate("abc", 1)], "query_id long, id string, rank long")

@@ -148,4 +148,4 @@ def rollup(hits: DataFrame, pool: int, by: tuple[str, ...] = ()) -> DataFrame:
     docs = hits.groupBy(*by, "id").agg(first).select(*by, "id", F.col("m.distance").alias("distance"), F.col("m.chunk_ix").alias("chunk_ix"))
     order = Window.partitionBy(*by).orderBy("distance", "id") if by else Window.orderBy("distance", "id")
     docs = docs if by else docs.orderBy("distance", "id").limit(pool)
-    return docs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= pool)
+    return docs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).withColumn("rank", F.col("rank").cast("long"))

@@ -32,7 +32,7 @@ def top(scores: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     rows = scores.withColumn("score", F.round("score", 9))
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "id") if by else Window.orderBy(F.desc("score"), "id")
     rows = rows if by else rows.orderBy(F.desc("score"), "id").limit(k)
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, docs: DataFrame, k: int = 8, id_col: str = "id", by: tuple[str, ...] = (), extra: tuple[str, ...] = ("title", "kind"), passage: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,59 +56,55 @@ def build(docs: DataFrame, id_col: str = "relpath", weights: dict[str, float] |
 
 
 # -- frequencies of leaves --------------------------------------------------------------------------
-def _term_rows(index: Index, phrase: Phrase, k: int) -> DataFrame:
-    """(id, col, at) of the k-th word, positions moved back to the phrase's first word."""
-    word = phrase.words[k]
-    rows = index.postings
-    if phrase.columns is not None:
-        rows = rows.where(F.col("col").isin(*phrase.columns))
-    if phrase.prefix and k == len(phrase.words) - 1:
-        rows = rows.where(F.col("term").startswith(word)).groupBy("id", "col").agg(F.flatten(F.collect_list("at")).alias("at"))
-    else:
-        rows = rows.where(F.col("term") == (porter(word) if index.stemmed else word)).select("id", "col", "at")
-    return rows.select("id", "col", F.transform("at", lambda p: p - k).alias("at") if k else F.col("at"))
+def _phrases(query: Query) -> list[Phrase]:
+    """The phrases of all leaves, those inside NEAR too."""
+    return [p for leaf in query.leaves for p in (leaf.phrases if isinstance(leaf, Near) else [leaf]) if p.words]
+
+
+def _words(phrase: Phrase) -> list[tuple[str, bool]]:
+    """(word, is a prefix) of a phrase."""
+    last = len(phrase.words) - 1
+    return [(w, bool(phrase.prefix) and k == last) for k, w in enumerate(phrase.words)]
 
 
-def _phrase_rows(index: Index, phrase: Phrase) -> DataFrame:
-    """(id, col, at) where the phrase begins."""
-    out = _term_rows(index, phrase, 0)
-    for k in range(1, len(phrase.words)):
-        more = _term_rows(index, phrase, k).withColumnRenamed("at", "next")
-        out = out.join(more, ["id", "col"]).select("id", "col", F.array_intersect("at", "next").alias("at"))
+def _phrase_at(phrase: Phrase, places: dict[tuple[str, bool], str]) -> Column:
+    """Where the phrase begins in a column; places names the array of positions of each word."""
+    moved = lambda word, k: F.transform(F.col(places[word]), lambda p: p - k) if k else F.col(places[word])
+    out = reduce(F.array_intersect, [moved(word, k) for k, word in enumerate(_words(phrase))])
     if phrase.first:
-        out = out.withColumn("at", F.filter("at", lambda p: p == 0))
-    return out.where(F.size("at") > 0)
+        out = F.filter(out, lambda p: p == 0)
+    return out if phrase.columns is None else F.when(F.col("col").isin(*phrase.columns), out).otherwise(F.slice(out, 1, 0))
 
 
-def _near_rows(index: Index, near: Near) -> DataFrame:
-    """(id, col, at) of the first phrase's positions that have all other phrases within the distance."""
-    out = _phrase_rows(index, near.phrases[0])
-    for k, phrase in enumerate(near.phrases[1:]):
-        out = out.join(_phrase_rows(index, phrase).withColumnRenamed("at", f"p{k}"), ["id", "col"])
-    head = len(near.phrases[0].words)
+def _near_at(near: Near, places: dict[tuple[str, bool], str]) -> Column:
+    """The first phrase's positions that have all other phrases within the distance."""
+    head, rest = len(near.phrases[0].words), [(_phrase_at(p, places), len(p.words)) for p in near.phrases[1:]]
 
     def within(p: Column, words: int):
         return lambda q: F.when(q >= p, q - p - head).otherwise(p - q - words) <= near.distance
 
-    def close(p: Column) -> Column:
-        tests = [F.exists(f"p{k}", within(p, len(phrase.words))) for k, phrase in enumerate(near.phrases[1:])]
-        return reduce(Column.__and__, tests, F.lit(True))
-
-    return out.select("id", "col", F.filter("at", close).alias("at")).where(F.size("at") > 0)
+    return F.filter(_phrase_at(near.phrases[0], places), lambda p: reduce(Column.__and__, [F.exists(at, within(p, n)) for at, n in rest], F.lit(True)))
 
 
 def frequencies(index: Index, query: Query) -> DataFrame:
-    """(id, leaf, f): column-weighted frequency of every leaf in every document that has it."""
-    weight = F.create_map(*[F.lit(x) for c, w in index.weights.items() for x in (c, float(w))])
-    parts = []
-    for k, leaf in enumerate(query.leaves):
-        if isinstance(leaf, Phrase) and not leaf.words:
-            continue
-        rows = _near_rows(index, leaf) if isinstance(leaf, Near) else _phrase_rows(index, leaf)
-        parts.append(rows.groupBy("id").agg(F.sum(F.size("at") * F.element_at(weight, F.col("col"))).alias("f")).select("id", F.lit(k).alias("leaf"), "f"))
-    if not parts:
+    """(id, leaf, f): column-weighted frequency of every leaf in every document that has it.
+
+    One scan of the postings for all words of the query; leaves are told apart after it.
+    """
+    words = list(dict.fromkeys(w for p in _phrases(query) for w in _words(p)))
+    if not words:
         return index.lengths.select("id", F.lit(0).alias("leaf"), F.lit(0.0).alias("f")).where("false")
-    return reduce(DataFrame.unionByName, parts)
+    term = {(w, prefix): w if prefix or not index.stemmed else porter(w) for w, prefix in words}
+    exact, prefixes = sorted({t for (_, prefix), t in term.items() if not prefix}), sorted({t for (_, prefix), t in term.items() if prefix})
+    wanted = [F.col("term").isin(*exact)] if exact else []
+    rows = index.postings.where(reduce(Column.__or__, wanted + [F.col("term").startswith(t) for t in prefixes]))
+    places = {w: f"at{k}" for k, w in enumerate(words)}
+    found = lambda w: F.col("term").startswith(term[w]) if w[1] else F.col("term") == term[w]
+    rows = rows.groupBy("id", "col").agg(*[F.flatten(F.collect_list(F.when(found(w), F.col("at")))).alias(name) for w, name in places.items()])
+    weight = F.create_map(*[F.lit(x) for c, w in index.weights.items() for x in (c, float(w))])
+    leaves = [(k, _near_at(leaf, places) if isinstance(leaf, Near) else _phrase_at(leaf, places)) for k, leaf in enumerate(query.leaves) if isinstance(leaf, Near) or leaf.words]
+    each = F.array(*[F.struct(F.lit(k).alias("leaf"), (F.size(at) * F.element_at(weight, F.col("col"))).alias("f")) for k, at in leaves])
+    return rows.select("id", F.explode(each).alias("x")).where("x.f > 0").groupBy("id", F.col("x.leaf").alias("leaf")).agg(F.sum("x.f").alias("f"))
 
 
 def _holds(tree: tuple, found: Column) -> Column:
@@ -188,10 +185,10 @@ def search_batch(index: Index, queries: DataFrame, k: int = 8) -> DataFrame:
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     each = f.join(df, "term").join(index.lengths, "id").select("id", "term", part.alias("part"))
     hits = each.join(terms, "term").groupBy("query_id", "id").agg(F.round(-F.sum("part"), 9).alias("score"), F.count("*").alias("have")).join(F.broadcast(wanted), "query_id")
-    full = F.max((F.col("have") == F.col("words")).cast("int")).over(Window.partitionBy("query_id"))
-    kept = hits.withColumn("full", full).where((F.col("full") == 0) | (F.col("have") == F.col("words")))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return kept.withColumn("rank", order.cast("long")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    full = hits.groupBy("query_id").agg(F.max((F.col("have") == F.col("words")).cast("int")).alias("full"))  # a row a query
+    kept = hits.join(full, "query_id").where((F.col("full") == 0) | (F.col("have") == F.col("words")))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))  # compared as it is, every task sends its best k alone
+    return kept.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # -- substring fallback and snippets ------------------------------------------------------------------
@@ -230,6 +227,10 @@ def snippets(hits: DataFrame, docs: DataFrame, text: str, id_col: str = "relpath
     from textweave.operators.match_query import fold_words
 
     words = list(fold_words(text))
-    pick = F.udf(lambda *parts: best_window(list(parts), words, stemmed), "string")
+
+    @F.pandas_udf("string")
+    def pick(*parts: pd.Series) -> pd.Series:
+        return pd.Series([best_window(list(row), words, stemmed) for row in zip(*parts)])
+
     rows = docs.join(F.broadcast(hits.select("id")), docs[id_col] == F.col("id"), "left_semi").select(F.col(id_col).alias("id"), pick(*columns).alias("s"), F.col(columns[-1]).alias("head"))
     return hits.join(rows.select("id", trim(F.when(F.col("s") != "", F.col("s")).otherwise(F.coalesce("head", F.lit("")))).alias("snippet")), "id", "left")

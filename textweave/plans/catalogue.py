@@ -480,7 +480,7 @@ def purpose_line(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     ext = F.when(F.col("doc_id") % 3 == 0, ".py").when(F.col("doc_id") % 3 == 1, ".js").otherwise(".sql")
     mark = F.when(F.col("doc_id") % 3 == 0, "# ").when(F.col("doc_id") % 3 == 1, "// ").otherwise("-- ")
-    text = F.concat(mark, F.lit("-----\n"), mark, F.lit("Reads "), "source", F.lit(" in "), "lang", F.lit(". And more\n"), mark, F.lit("second line\nx = 1\n"))
+    text = F.concat(mark, F.lit("-----\n"), mark, F.lit("Reads "), "source", F.lit(" in "), "lang", F.lit(". And more\n"), mark, F.lit("second line\nx = 1\n"), F.coalesce("text", F.lit("")))
     rows = d.select("doc_id", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), ext).alias("path"), text.alias("code"))
     return rows.select("doc_id", purpose_of("path", "code").alias("purpose"), block_of("path", "code").alias("block"))
 
@@ -595,9 +595,9 @@ def lint_summary(spark, sf_dir):
     return lint.lint(docs, 0.0).groupBy("severity", "check").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, (length(text) - length(replace(text, 'the', ''))) // 3 AS n FROM documents")
 def slug_and_occurrences(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", slug(F.substring("text", 1, 60)).alias("slug"), occurrences(F.col("text"), F.lit("the")).alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", slug(F.col("text")).alias("slug"), occurrences(F.col("text"), F.lit("the")).alias("n"))
 
 
 # -- event log ----------------------------------------------------------------------------------------------------

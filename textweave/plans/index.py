@@ -1,7 +1,7 @@
 """The stored index: Parquet tables of one version, published by a pointer file.
 
 A build writes a new version folder and then replaces the pointer, so readers see a whole version or
-the one before.  An incremental run lists the tree, compares with the stored snapshot, reads only what
+the one before; replaced versions stay for KEEP_S seconds, so a lazy reader goes on with its own.  An incremental run lists the tree, compares with the stored snapshot, reads only what
 changed, and carries all other rows over with anti-joins.
 """
 
@@ -15,6 +15,7 @@ import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from textweave.sources import schemas, tree
 
 TABLES = ("files", "docs", "frontmatter", "chunks", "postings", "lengths")
 EPS = 1e-6
+KEEP_S = 3_600.0  # how long a replaced version stays
 
 
 @dataclass
@@ -68,7 +70,11 @@ def embedder(config: Config) -> dense.Embedder:
 def chunk_rows(docs: DataFrame, config: Config) -> DataFrame:
     """(id, chunk_ix, text, vector) of prose and code; the stored text has no prefix."""
     tokens, overlap = config.chunk_tokens, config.overlap
-    cut = F.udf(lambda t: chunks(t or "", tokens, overlap), "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunks(t or "", tokens, overlap) for t in texts])
+
     rows = docs.where("kind <> 'db-table'").select(F.col("relpath").alias("id"), F.posexplode(cut("body")).alias("chunk_ix", "text"))
     if not config.semantic:
         return rows.withColumn("vector", F.lit(None).cast("array<float>")).where("false")
@@ -80,8 +86,8 @@ def _publish(config: Config, version: str, meta: dict) -> None:
     pointer = config.index_dir / f"current-{uuid.uuid4().hex}.json"
     pointer.write_text(json.dumps(meta | {"version": version}))
     os.replace(pointer, config.index_dir / "current.json")
-    for old in config.index_dir.glob("v-*"):
-        if old.name != version:
+    for old in config.index_dir.glob("v-*"):  # younger ones may have readers, or be another build's
+        if old.name != version and time.time() - int(old.name.split("-")[1]) / 1000 > KEEP_S:
             shutil.rmtree(old, ignore_errors=True)
 
 
