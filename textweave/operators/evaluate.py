@@ -11,13 +11,15 @@ from pyspark.sql.window import Window
 from textweave.functions.text import occurrences
 
 
-def grep(corpus: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+def grep(corpus: DataFrame, queries: DataFrame, k: int = 8, words: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank) of corpus(id, text) for a stated query set queries(query_id, query).
 
+    words: the words of a query in lower case, where it is not cut at white space.
+
     Documents rank by how many words of the query they contain (as substrings, repeats count again), then
     by all occurrences, then id.  The queries are few and go to every task; ranks are taken per query.
     """
-    words = queries.select("query_id", F.filter(F.split(F.lower(F.col("query")), r"\s+"), lambda w: w != "").alias("words"))
+    words = queries.select("query_id", (F.filter(F.split(F.lower(F.col("query")), r"\s+"), lambda w: w != "") if words is None else words).alias("words"))
     rows = corpus.select("id", F.lower("text").alias("t")).join(F.broadcast(words), F.exists("words", lambda w: F.contains(F.col("t"), w)))
     rows = rows.select("query_id", "id", F.size(F.filter("words", lambda w: F.contains(F.col("t"), w))).cast("long").alias("score"), F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + occurrences(F.col("t"), w)).alias("total"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("total"), "id")
