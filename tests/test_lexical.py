@@ -101,3 +101,51 @@ def test_stemmer_sees_distinct_terms(spark):
     assert text.index("stem") < text.index("Aggregate") and "Filter" not in text[text.index("Aggregate") :]
     ix = lx.build(docs, "id", {"body": 1.0}, stem=True)
     assert {(r.id, tuple(r["at"])) for r in ix.postings.where("term = 'rank'").collect()} == {(k, (0, 1, 2, 3)) for k in range(50)}
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_one_pass_gives_the_same(spark, stem):
+    """An index that is not stored reads documents for the words of a query alone; results are those of all postings, repeated ids too."""
+    docs = spark.createDataFrame([*ROWS, ROWS[0], ("h/ability.md", "Abilities", None, "ability able fox"), (None, "fox", "", "fox hound")], COLS)
+    live = lx.build(docs, "relpath", stem=stem)
+    whole = lx.Index(live.postings, live.lengths, live.weights, stem)
+    for text in ("fox OR garden", '"the fox"', "gard*", "title : garden", "NEAR(fox hound, 3)", "ranking OR ability", "nosuch", "a*"):
+        a, b = (sorted((str(r.id), round(r.score, 9)) for r in lx.scored(ix, parse(text, ix.columns)).collect()) for ix in (live, whole))
+        assert a == b, text
+    asked = spark.createDataFrame([(1, "fox hound"), (2, "fox nosuch"), (3, "nosuch"), (4, "ranking wall abilities")], "query_id long, query string")
+    a, b = (sorted(map(repr, lx.search_batch(ix, asked, 3).collect())) for ix in (live, whole))
+    assert a == b and a
+
+
+def test_documents_are_read_once(spark):
+    """Two readings of a query, its frequencies and the lengths come from one pass."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    docs = spark.createDataFrame(ROWS, COLS).select("relpath", counted("body").alias("body"))
+    assert {r.id for r in lx.search(lx.build(docs, "relpath", {"body": 1.0}), "water nosuch").collect()} == {"a/garden.md", "b/notes.md", "c/river.md"}
+    assert seen.value == len(ROWS)
+
+
+def test_only_words_near_a_stem_are_stemmed(spark, docs):
+    rows, sizes = lx.look(lx.build(docs, "relpath", stem=True), ["rank"])
+    assert {r.id for r in rows.collect()} == {"e/ranks.md"} and sizes.count() == len(ROWS)
+    assert "regexp_extract_all" not in lx.stem_table(rows)._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+
+
+def test_words_begin_as_their_stems(spark):
+    from textweave.functions.text import _FOUR, _THREE, _TWO, porter
+
+    ends = ["", "s", "es", "ed", "ing", "y", "ies", "sses", "eed", "e", "ll", "ation", "bility", "ability", "ency", "ancy", "ivity", "ality", "logy", "ably", "ently", "ously", "entli", *_TWO, *_THREE, *_FOUR]
+    for base in ("a", "be", "cat", "hopp", "fill", "relat", "triplic", "conform", "defens", "cycl", "y", "sky", "oxid", "xa"):
+        for one in ends:
+            for two in ends:
+                word = base + one + two
+                stem = porter(word)
+                assert word.startswith(stem[: max(0, len(stem) - lx.STEM_ENDS)]), word

@@ -20,16 +20,25 @@ from textweave.operators.match_query import MatchError, Near, Phrase, Query, all
 
 WEIGHTS = {"relpath": 5.0, "title": 10.0, "frontmatter": 4.0, "body": 1.0}
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: Letters at the end of a stem that may differ from its words (bility becomes ble).
+STEM_ENDS = 2
+#: Words of a set of queries up to which they are sent to every task.
+MANY = 10_000
 
 
 @dataclass
 class Index:
-    """postings(id, col, term, at) and lengths(id, length), and whether terms are stems."""
+    """postings(id, col, term, at) and lengths(id, length), and whether terms are stems.
+
+    docs (with id_col): where they are not stored, a query reads these once, for its own words and the lengths.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     weights: dict[str, float]
     stemmed: bool
+    docs: DataFrame | None = None
+    id_col: str = ""
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -52,7 +61,38 @@ def lengths(docs: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame
 
 def build(docs: DataFrame, id_col: str = "relpath", weights: dict[str, float] | None = None, stem: bool = False) -> Index:
     weights = weights or WEIGHTS
-    return Index(postings(docs, id_col, tuple(weights), stem), lengths(docs, id_col, tuple(weights)), weights, stem)
+    return Index(postings(docs, id_col, tuple(weights), stem), lengths(docs, id_col, tuple(weights)), weights, stem, docs, id_col)
+
+
+def look(index: Index, exact: list[str], prefixes: list[str] = (), by_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, col, term, at) of the terms given and of those that begin with the prefixes, and (id, length) of all documents.
+
+    Documents that are not stored are read in one pass, of which the places of these terms and the lengths are held
+    until the session drops what it caches.  A term may have several rows in a document.  by_id: rows of an id lie together.
+    """
+    named = lambda term: reduce(Column.__or__, [term.isin(*exact)] * bool(exact) + [F.startswith(term, F.lit(t)) for t in prefixes], F.lit(False))
+    if index.docs is None:
+        return index.postings.where(named(F.col("term"))), index.lengths
+    loose = named
+    if index.stemmed:  # a stem without its last STEM_ENDS letters is how every word that has it begins
+        begins = sorted({t[: max(0, len(t) - STEM_ENDS)] for t in [*exact, *prefixes]})
+        loose = lambda term: reduce(Column.__or__, [term.isin(*exact)] * bool(exact) + [F.startswith(term, F.lit(t)) for t in begins], F.lit(False))
+    cols = list(index.weights)
+    rows = index.docs.select(F.col(index.id_col).alias("id"), *[tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(cols)])
+    found = []
+    for k, c in enumerate(cols):
+        t = F.col(f"t{k}")
+        at = F.filter(F.transform(t, lambda x, i: F.when(loose(x), i)), lambda i: i.isNotNull())
+        found.append(F.struct(F.lit(c).alias("col"), F.filter(t, loose).alias("terms"), at.alias("at")))
+    size = reduce(Column.__add__, [F.size(f"t{k}") for k in range(len(cols))]).cast("long")
+    held = rows.select("id", size.alias("length"), F.filter(F.array(*found), lambda x: F.size(x["at"]) > 0).alias("found"))
+    held = (held.repartition("id") if by_id else held).persist()
+    each = held.select("id", F.explode("found").alias("x")).select("id", "x.col", F.explode(F.arrays_zip("x.terms", "x.at")).alias("y"))
+    hits = each.select("id", "col", F.col("y.terms").alias("term"), F.array("y.at").alias("at"))
+    if index.stemmed:
+        words = stem_table(hits).where(named(F.col("stem")))
+        hits = hits.join(words, "term").select("id", "col", F.col("stem").alias("term"), "at")
+    return hits, held.select("id", "length")
 
 
 # -- frequencies of leaves --------------------------------------------------------------------------
@@ -86,18 +126,29 @@ def _near_at(near: Near, places: dict[tuple[str, bool], str]) -> Column:
     return F.filter(_phrase_at(near.phrases[0], places), lambda p: reduce(Column.__and__, [F.exists(at, within(p, n)) for at, n in rest], F.lit(True)))
 
 
-def frequencies(index: Index, query: Query) -> DataFrame:
+def _terms(index: Index, query: Query) -> dict[tuple[str, bool], str]:
+    """The term of each (word, is a prefix) of the query."""
+    words = dict.fromkeys(w for p in _phrases(query) for w in _words(p))
+    return {(w, prefix): w if prefix or not index.stemmed else porter(w) for w, prefix in words}
+
+
+def seen(index: Index, query: Query) -> tuple[DataFrame, DataFrame]:
+    """What ``look`` gives for the words of the query."""
+    term = _terms(index, query)
+    if not term:
+        return index.postings.where("false"), index.lengths
+    return look(index, sorted({t for (_, prefix), t in term.items() if not prefix}), sorted({t for (_, prefix), t in term.items() if prefix}))
+
+
+def frequencies(index: Index, query: Query, rows: DataFrame) -> DataFrame:
     """(id, leaf, f): column-weighted frequency of every leaf in every document that has it.
 
-    One scan of the postings for all words of the query; leaves are told apart after it.
+    rows: what ``seen`` gives, one scan for all words of the query; leaves are told apart after it.
     """
-    words = list(dict.fromkeys(w for p in _phrases(query) for w in _words(p)))
+    term = _terms(index, query)
+    words = list(term)
     if not words:
         return index.lengths.select("id", F.lit(0).alias("leaf"), F.lit(0.0).alias("f")).where("false")
-    term = {(w, prefix): w if prefix or not index.stemmed else porter(w) for w, prefix in words}
-    exact, prefixes = sorted({t for (_, prefix), t in term.items() if not prefix}), sorted({t for (_, prefix), t in term.items() if prefix})
-    wanted = [F.col("term").isin(*exact)] if exact else []
-    rows = index.postings.where(reduce(Column.__or__, wanted + [F.col("term").startswith(t) for t in prefixes]))
     places = {w: f"at{k}" for k, w in enumerate(words)}
     found = lambda w: F.col("term").startswith(term[w]) if w[1] else F.col("term") == term[w]
     rows = rows.groupBy("id", "col").agg(*[F.flatten(F.collect_list(F.when(found(w), F.col("at")))).alias(name) for w, name in places.items()])
@@ -114,15 +165,16 @@ def _holds(tree: tuple, found: Column) -> Column:
     return a & b if tree[0] == "and" else a | b if tree[0] == "or" else a & ~b
 
 
-def scored(index: Index, query: Query) -> DataFrame:
-    """(id, score) of the documents that match; lower is better."""
-    f = frequencies(index, query)
-    facts = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+def scored(index: Index, query: Query, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(id, score) of the documents that match; lower is better.  found: what ``seen`` gives for a query of these words."""
+    rows, sizes = found or seen(index, query)
+    f = frequencies(index, query, rows)
+    facts = sizes.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     having = f.groupBy("leaf").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))  # a row a leaf
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
     having = having.select("leaf", "avg_length", F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    rows = f.join(F.broadcast(having), "leaf").join(index.lengths, "id").groupBy("id").agg(F.collect_set("leaf").alias("found"), (-F.sum(part)).alias("score"))
+    rows = f.join(F.broadcast(having), "leaf").join(sizes, "id").groupBy("id").agg(F.collect_set("leaf").alias("found"), (-F.sum(part)).alias("score"))
     return rows.where(_holds(query.tree, F.col("found"))).select("id", "score") if query.tree else rows.where("false").select("id", "score")
 
 
@@ -146,14 +198,15 @@ def search(index: Index, text: str, k: int = 8, strict: bool = False, notes: lis
             query = Query((), []) if e.kind == "column" else all_phrase(text)
     else:
         query = all_words(text)
-    hits = ranked(scored(index, query), k)
+    found, known = seen(index, query), _terms(index, query).keys()
+    hits = ranked(scored(index, query, found), k)
     words = text.split() if strict else [p.words[0] for p in query.leaves]
     if len(words) > 1 and hits.isEmpty():
         try:
             query = parse(" OR ".join(words), index.columns) if strict else all_words(text, "or")
         except MatchError:
             return hits
-        wider = ranked(scored(index, query), k)
+        wider = ranked(scored(index, query, found if _terms(index, query).keys() <= known else None), k)
         if not wider.isEmpty():
             (notes if notes is not None else []).append("no document has all words; any word counts")
             return wider
@@ -176,19 +229,25 @@ def search_batch(index: Index, queries: DataFrame, k: int = 8) -> DataFrame:
         terms = terms.join(stem_table(terms), "term").select("query_id", F.col("stem").alias("term")).distinct()
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("words"))
     weight = F.create_map(*[F.lit(x) for c, w in index.weights.items() for x in (c, float(w))])
-    f = index.postings.join(F.broadcast(terms.select("term").distinct()) if queries.limit(10_001).count() <= 10_000 else terms.select("term").distinct(), "term", "left_semi")
-    f = f.groupBy("id", "term").agg(F.sum(F.size("at") * F.element_at(weight, F.col("col"))).alias("f"))
-    facts = index.lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    asked = [r.term for r in terms.select("term").distinct().limit(MANY + 1).collect()]
+    if len(asked) <= MANY:  # the words of the queries go to every task
+        rows, sizes = look(index, sorted(asked), by_id=True)
+    else:
+        rows, sizes = index.postings.join(terms.select("term").distinct(), "term", "left_semi"), index.lengths
+    few = F.broadcast if len(asked) <= MANY else lambda x: x
+    f = rows.groupBy("id", "term").agg(F.sum(F.size("at") * F.element_at(weight, F.col("col"))).alias("f"))
+    facts = sizes.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     df = f.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(facts))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     df = df.select("term", "avg_length", F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    each = f.join(df, "term").join(index.lengths, "id").select("id", "term", part.alias("part"))
-    hits = each.join(terms, "term").groupBy("query_id", "id").agg(F.round(-F.sum("part"), 9).alias("score"), F.count("*").alias("have")).join(F.broadcast(wanted), "query_id")
-    full = hits.groupBy("query_id").agg(F.max((F.col("have") == F.col("words")).cast("int")).alias("full"))  # a row a query
-    kept = hits.join(full, "query_id").where((F.col("full") == 0) | (F.col("have") == F.col("words")))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))  # compared as it is, every task sends its best k alone
-    return kept.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    each = f.join(few(df), "term").join(sizes, "id").select("id", "term", part.alias("part"))
+    hits = each.join(few(terms), "term").groupBy("query_id", "id").agg(F.round(-F.sum("part"), 9).alias("score"), F.count("*").alias("have")).join(F.broadcast(wanted), "query_id")
+    hits = hits.select("query_id", "id", "score", (F.col("have") < F.col("words")).alias("partial"))
+    # documents with all words come first, so the best k tell whether there is one; compared as it is, every task sends its best k alone
+    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("partial", "score", "id"))).where(F.col("place") <= k)
+    best = best.withColumn("none", F.min("partial").over(Window.partitionBy("query_id"))).where(F.col("none") | ~F.col("partial"))
+    return best.select("query_id", "id", "score", F.col("place").cast("long").alias("rank"))
 
 
 # -- substring fallback and snippets ------------------------------------------------------------------
