@@ -69,3 +69,15 @@ def test_rrf(spark):
     docs = spark.createDataFrame([("a", "T", "md")], "id string, title string, kind string")
     r = fusion.hybrid(a, b, docs, 2).orderBy("rank").collect()
     assert [(x.id, x.title) for x in r] == [("a", "T"), ("c", "")] and fusion.pool_size(8) == 32 and fusion.over_fetch(30) == 240
+
+
+def test_batch_in_blocks_of_queries(monkeypatch):
+    """A task holds few products at a time, whatever the number of queries; results and ties are the same."""
+    rng = np.random.default_rng(3)
+    rows = np.repeat(dense.normalise(rng.normal(size=(60, 8))), 2, axis=0)
+    whole = [np.concatenate(x) for x in zip(*dense.nearest(rows, rows[:31], 5))]
+    monkeypatch.setattr(dense, "CELLS", 240)
+    blocks = list(dense.nearest(rows, rows[:31], 5))
+    assert len(blocks) == 16 and all(len(set(c.tolist())) <= 2 for _, c, _ in blocks)
+    found = [{(int(r), int(c), round(float(d), 6)) for r, c, d in zip(*x)} for x in (whole, [np.concatenate(x) for x in zip(*blocks)])]
+    assert found[0] == found[1] and len(found[0]) >= 31 * 5

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Products of chunks and queries that a task holds at a time.
+CELLS = 1 << 20
+
+
 class EmbeddingError(RuntimeError):
     """An embedder that gave no usable answer."""
 
@@ -110,10 +114,20 @@ def knn(chunks: DataFrame, query: list[float], over: int, vector_col: str = "vec
     return chunks.withColumn("distance", F.round(F.lit(1.0) - dot(F.col(vector_col), q), 9)).orderBy("distance", *keys).limit(over)
 
 
+def nearest(rows: np.ndarray, queries: np.ndarray, over: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, query, distance) of the nearest rows of each query, a block of queries at a time."""
+    n, wide = min(over, len(rows)), max(1, CELLS // len(rows))
+    for low in range(0, len(queries), wide):
+        d = np.round(1.0 - rows @ queries[low : low + wide].T, 9)
+        edge = np.partition(d, n - 1, axis=0)[n - 1]
+        r, c = np.nonzero(d <= edge)  # ties at the edge all go on
+        yield r, low + c, d[r, c]
+
+
 def knn_batch(chunks: DataFrame, queries: np.ndarray, query_ids: list, over: int, vector_col: str = "vector", id_col: str = "id", ix_col: str = "chunk_ix") -> DataFrame:
     """(query_id, id, chunk_ix, distance): nearest over chunks of each of a set of query vectors.
 
-    Each batch of chunks is one matrix product; only its best ``over`` rows a query leave it.
+    A batch of chunks meets the queries in blocks of up to CELLS products; only its best ``over`` rows a query leave it.
     """
     spark = chunks.sparkSession
     q = spark.sparkContext.broadcast((np.asarray(queries, dtype=np.float64), list(query_ids)))
@@ -122,18 +136,14 @@ def knn_batch(chunks: DataFrame, queries: np.ndarray, query_ids: list, over: int
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matrix, names = q.value
+        matrix, names = q.value[0], np.array(q.value[1])
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = batch.column(2)
             m = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-            d = np.round(1.0 - m @ matrix.T, 9)
-            n = min(over, len(m))
-            best = np.argpartition(d, n - 1, axis=0)[:n]
-            edge = np.take_along_axis(d, best, 0).max(0)
-            r, c = np.nonzero(d <= edge)  # ties at the edge all go on
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[c]), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(d[r, c])], ["query_id", "id", "chunk_ix", "distance"])
+            for r, c, d in nearest(m, matrix, over):
+                yield pa.RecordBatch.from_arrays([pa.array(names[c]), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(d)], ["query_id", "id", "chunk_ix", "distance"])
 
     id_kind = "long" if all(isinstance(x, (int, np.integer)) for x in query_ids) else "string"
     rows = chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(ix_col).alias("chunk_ix"), F.col(vector_col).alias("v"))
