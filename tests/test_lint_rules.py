@@ -52,3 +52,36 @@ def test_all_findings(spark):
         ("info", "stale", "notes/a.md"),
     ]
     assert lint.has_errors(lint.lint(docs, 1e9)) and {r.severity: r.n for r in lint.severities(lint.lint(docs, 1e9)).collect()}["error"] == 1
+
+
+def test_blank_as_python_has_it(spark):
+    """Every character of the basic plane alone, and none, against str.strip."""
+    from pyspark.sql import functions as F
+
+    texts = [None, "", " \t\n", " x "] + [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000] + ["\U0001f600"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").where(lint.is_blank("text")).select("k").collect()
+    assert {r.k for r in rows} == {k for k, t in enumerate(texts) if not (t or "").strip()}
+
+
+def test_workers_are_handed_few_bytes(spark):
+    """Batches are bounded by bytes: long texts do not come ten thousand at a time, in lint and in the queries of the catalogue."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from textweave.functions.session import BATCH_BYTES
+    from textweave.plans import catalogue
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    long = spark.range(0, 2000, 1, 1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("x"), 10_000).alias("text"), F.lit(0.0).alias("mtime"))
+    for use in (lambda: lint.lint(long, 0.0), lambda: catalogue.read(spark, "/root/testdata/sf0.001", "documents")):
+        try:
+            spark.conf.set(key, "256m")
+            use()
+            assert long.select(F.max(together("text"))).first()[0] <= BATCH_BYTES + 20_000
+        finally:
+            spark.conf.set(key, before)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textweave.functions.parse import first_heading
+from textweave.functions.session import bounded
 from textweave.functions.text import slug
 from textweave.operators.rules import RecordType, missing_fields
 
 SEVERITIES = ("error", "warn", "info")
 LINK = r"(?<!\!)\[[^\]]*\]\(([^)]+)\)"
 WIKILINK = r"\[\[([^\]|#]+)(?:\|[^\]]+)?\]\]"
+SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NOT_LOCAL = r"(?i)^(?:[a-z]+://|mailto:|#|tel:)"
 
 
@@ -24,9 +26,9 @@ def heading(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(first_heading)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_blank(texts: pd.Series) -> pd.Series:
-    return texts.fillna("").map(lambda t: not t.strip())
+def is_blank(text: str | Column) -> Column:
+    """Whether there is nothing but what Python takes for white space; stops at the first other character."""
+    return ~F.rlike(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(f"[^{SPACES}]"))
 
 
 def finding(rows: DataFrame, severity: str, check: str, message: Column) -> DataFrame:
@@ -102,6 +104,7 @@ def duplicate_titles(titles: DataFrame) -> DataFrame:
 
 def lint(docs: DataFrame, now: float, types: list[RecordType] = (), days: float = 180, known: DataFrame | None = None) -> DataFrame:
     """All findings, by severity, check and path.  An empty file has no other finding."""
+    bounded(docs.sparkSession)
     full = docs.where(~is_blank("text"))
     parts = [empty_files(docs), no_heading(full), bad_frontmatter(full), dead_links(full, known), dangling_wikilinks(full), stale(full, now, days), duplicate_titles(full.select("path", heading("text").alias("title")))]
     if types:

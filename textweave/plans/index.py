@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textweave.functions.parse import chunks
+from textweave.functions.session import bounded
 from textweave.operators import dense, lexical
 from textweave.plans.config import Config
 from textweave.sources import schemas, tree
@@ -70,6 +71,7 @@ def embedder(config: Config) -> dense.Embedder:
 def chunk_rows(docs: DataFrame, config: Config) -> DataFrame:
     """(id, chunk_ix, text, vector) of prose and code; the stored text has no prefix."""
     tokens, overlap = config.chunk_tokens, config.overlap
+    bounded(docs.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
